@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, mixing, sharding
+from framestride.llm import host_rules, mixing, sharding, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op9_host_rules": host_rules.op9_host_rules,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
