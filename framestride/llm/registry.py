@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, mixing, sharding, simhash
+from framestride.llm import host_rules, mixing, phrase_index, sharding, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_phrase_index": phrase_index.op5_phrase_index,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_sharding": sharding.SQL,
+    "op5_phrase_index": phrase_index.SQL,
     "op9_host_rules": host_rules.SQL,
 }
