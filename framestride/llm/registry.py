@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, mixing, phrase_index, sharding, simhash
+from framestride.llm import host_rules, mixing, phrase_index, rans, sharding, simhash
 
 QUERIES = {
+    "op1_rans_tokens": rans.op1_rans_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_phrase_index": phrase_index.op5_phrase_index,

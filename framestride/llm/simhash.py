@@ -133,6 +133,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Samples for each text, shingles in one, and how many of them a pair must share to be verified.
 SAMPLES, SHARED = 8, 2
 SHINGLE, SIMILAR = 5, 0.8
+STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
 #: Words whose hashes a worker remembers.
 MEMORY = 400_000
 
@@ -168,7 +169,7 @@ def sketch(shingles: np.ndarray) -> list[int]:
     """The smallest shingle hash under each of ``SAMPLES`` mixings, as signed integers."""
     if not len(shingles):
         return [0] * SAMPLES
-    return [int(_mix(shingles + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)).min().astype(np.int64)) for k in range(SAMPLES)]
+    return [int(_mix(shingles + step).min().astype(np.int64)) for step in STEPS]
 
 
 def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
