@@ -247,7 +247,7 @@ def write_tokens(docs: DataFrame, where: str, path: str, parts: int) -> DataFram
         fs.create_dir(inner.rpartition("/")[0], recursive=True)
         counts = np.zeros(size, dtype=np.int64)
         end = np.array([END], dtype=width).tobytes()
-        with fs.open_output_stream(inner) as raw, zstandard.ZstdCompressor(level=3).stream_writer(raw, closefd=False) as out:
+        with fs.open_output_stream(inner, compression=None) as raw, zstandard.ZstdCompressor(level=3).stream_writer(raw, closefd=False) as out:
             for b in batches:
                 held = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -267,7 +267,7 @@ def write_tokens(docs: DataFrame, where: str, path: str, parts: int) -> DataFram
 def read_raw(name: str, width: str) -> Iterator[tuple[int | None, np.ndarray]]:
     fs, inner = storage(name)
     head = struct.Struct("<?qQ")
-    with fs.open_input_stream(inner) as raw, zstandard.ZstdDecompressor().stream_reader(raw, read_size=1 << 20) as stream:
+    with fs.open_input_stream(inner, compression=None) as raw, zstandard.ZstdDecompressor().stream_reader(raw, read_size=1 << 20) as stream:
 
         def exactly(n: int) -> bytes:
             got = []
@@ -295,7 +295,7 @@ def write_blocks(spark: SparkSession, files: list[str], where: str, freq: np.nda
                 fs, inner = storage(name)
                 fs.create_dir(inner.rpartition("/")[0], recursive=True)
                 rows, place = [], 0
-                with fs.open_output_stream(inner) as out:
+                with fs.open_output_stream(inner, compression=None) as out:
                     docs: list[int | None] = []
                     held: list[np.ndarray] = []
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, mixing, phrase_index, rans, sharding, simhash
+from framestride.llm import host_rules, mixing, phrase_index, rans, sharding, simhash, warc
 
 QUERIES = {
     "op1_rans_tokens": rans.op1_rans_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_phrase_index": phrase_index.op5_phrase_index,
+    "op7_warc": warc.op7_warc,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -17,5 +18,6 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_sharding": sharding.SQL,
     "op5_phrase_index": phrase_index.SQL,
+    "op7_warc": warc.SQL,
     "op9_host_rules": host_rules.SQL,
 }
