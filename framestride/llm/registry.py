@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, mixing, phrase_index, rans, sharding, simhash, warc
+from framestride.llm import host_rules, licenses, mixing, phrase_index, rans, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_rans_tokens": rans.op1_rans_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_phrase_index": phrase_index.op5_phrase_index,
+    "op6_licenses": licenses.op6_licenses,
     "op7_warc": warc.op7_warc,
+    "op8_secrets": secrets.op8_secrets,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -18,6 +20,8 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_sharding": sharding.SQL,
     "op5_phrase_index": phrase_index.SQL,
+    "op6_licenses": licenses.SQL,
     "op7_warc": warc.SQL,
+    "op8_secrets": secrets.SQL,
     "op9_host_rules": host_rules.SQL,
 }
