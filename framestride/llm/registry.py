@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, licenses, mixing, phrase_index, rans, secrets, sharding, simhash, warc
+from framestride.llm import host_rules, licenses, mixing, phrase_index, pu_quality, rans, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_rans_tokens": rans.op1_rans_tokens,
+    "op2_pu_quality": pu_quality.op2_pu_quality,
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_phrase_index": phrase_index.op5_phrase_index,
