@@ -174,6 +174,13 @@ def storage(where: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (pafs.LocalFileSystem(), where)
 
 
+def byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Tokens(dict):
     """Ids of pieces of text as bytes, remembered up to a number of pieces.
 
@@ -191,7 +198,7 @@ class Tokens(dict):
     L, P, D = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~", "0-9"
     FINE = rf" ?[{L}]++(?=[\s{P}{D}]|\Z)| ?[{P}]++(?=[\s{L}{D}]|\Z)| ?[{D}]++(?=[\s{L}{P}]|\Z)|{COARSE}"
 
-    def __init__(self, path: str, width: str, memory: int = 1_000_000):
+    def __init__(self, path: str, width: str, memory: int = 1_500_000):
         import re
 
         from tokenizers import Tokenizer
@@ -201,19 +208,32 @@ class Tokens(dict):
         self.width, self.memory = width, memory
         self.fine = re.compile(self.FINE).findall
         self.coarse = re.compile(self.COARSE).findall
-        self.odd = re.compile(r"[\x1c-\x1f\x85]").search
+        # one run of letters, digits or signs is one unit of the tokenizer: its model alone gives the ids
+        self.single = re.compile(rf" ?(?:[{self.L}]+|[{self.P}]+|[{self.D}]+)").fullmatch
+        self.model, self.signs = self.tokenizer.model, byte_signs()
+        self.space = chr(self.signs[32])
+        self.codes = [i.to_bytes(np.dtype(width).itemsize, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.memory:
             self.clear()
-        out = self[piece] = self.whole(piece)
+        core = piece[1:] if piece[0] == " " else piece
+        if core.isascii() and core.isalpha():
+            unit = self.space + core if core is not piece else piece
+        elif self.single(piece):
+            unit = piece.encode().decode("latin-1").translate(self.signs)
+        else:
+            out = self[piece] = self.whole(piece)
+            return out
+        codes = self.codes
+        out = self[piece] = b"".join([codes[t.id] for t in self.model.tokenize(unit)])
         return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.odd(text):
+        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.coarse(text) if "'" in text else self.fine(text)))
 
@@ -247,7 +267,7 @@ def write_tokens(docs: DataFrame, where: str, path: str, parts: int) -> DataFram
         fs.create_dir(inner.rpartition("/")[0], recursive=True)
         counts = np.zeros(size, dtype=np.int64)
         end = np.array([END], dtype=width).tobytes()
-        with fs.open_output_stream(inner, compression=None) as raw, zstandard.ZstdCompressor(level=3).stream_writer(raw, closefd=False) as out:
+        with fs.open_output_stream(inner, compression=None) as raw, zstandard.ZstdCompressor(level=1).stream_writer(raw, closefd=False) as out:
             for b in batches:
                 held = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
