@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from framestride.plans import names_and_joins, pixel_queries, scene_queries, sequence_queries  # noqa: F401
+from framestride.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
