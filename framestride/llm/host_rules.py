@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framestride.llm.common import WS, WS_CHARS, Scratch, guarded, let, pick, table
+from framestride.llm.common import WS, WS_CHARS, Scratch, guarded, let, pick, small, table
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,8 @@ def judge(docs: DataFrame, scratch: Scratch, rules: HostRules = HostRules(), tex
     counted = with_failures(with_counts(rows, f"_{text}"), rules)
     counted = counted.drop(f"_{text}") if keep_text else counted.drop(f"_{text}", f"_c{docs.columns.index(text)}")
     counted = scratch.save(counted)
-    verdicts = host_verdicts(counted, f"_{host}", rules)
+    # one row for each host: without the shuffle of whole texts unless there are very many hosts
+    verdicts = small(scratch.save(host_verdicts(counted, f"_{host}", rules)))
     out = counted.join(verdicts, F.col(f"_{host}").eqNullSafe(F.col("_host")), "left")
     return out.withColumn("_kept", ~F.col("_base_failed") & ~F.coalesce("_host_bad", F.lit(False))), kept
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framestride.llm.common import Scratch, guarded, pick, table
+from framestride.llm.common import Scratch, guarded, pick, small, table
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -298,8 +298,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = f"_c{docs.columns.index('text')}"
     index = scratch.save(build_index(rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))), "index")
     hits = scratch.save(search_index(index, items, every=False).select("row"))
-    few = hits.count() <= 2_000_000
-    return rows.join(F.broadcast(hits) if few else hits, F.col("_row") == F.col("row"), "left_anti").select(*kept).toDF(*docs.columns)
+    return rows.join(small(hits), F.col("_row") == F.col("row"), "left_anti").select(*kept).toDF(*docs.columns)
 
 
 SQL = r"""

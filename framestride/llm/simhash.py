@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framestride.llm.common import Scratch, guarded, pick, table
+from framestride.llm.common import Scratch, guarded, pick, small, table
 
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Up to so many rows a side is broadcast (16 bytes each); above, the join shuffles.
-BROADCAST_ROWS = 2_000_000
 #: Shingles counted at once, so that a very long text needs bounded memory.
 SLICE = 1 << 16
 
@@ -226,11 +224,6 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(equal), scratch)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document of each group of similar texts, that with the smallest id.
 
