@@ -32,10 +32,10 @@ def l2_unit(x: Column | str) -> Column:
 
 
 def bhattacharyya(p: Column | str, q: Column | str) -> Column:
-    """Distance of two histograms, 0 for equal and 1 for disjoint ones."""
+    """Distance of two histograms, 0 for equal and 1 for disjoint or empty ones."""
     mass = F.sqrt(total(p) * total(q))
     overlap = total(F.zip_with(col(p), col(q), lambda a, b: F.sqrt(a * b)))
-    return F.sqrt(F.greatest(F.lit(0.0), 1 - ratio(overlap, mass)))
+    return F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce(ratio(overlap, mass), F.lit(0.0))))
 
 
 def cosine_distance(x: Column | str, y: Column | str) -> Column:
