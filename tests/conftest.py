@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from framestride.session import reachable
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,7 +16,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield reachable(session)
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
