@@ -14,28 +14,30 @@ with which it reaches ``SHARD_WORDS``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framestride.llm.common import Scratch, guarded, pick, small, table
+from framestride.llm.common import Scratch, pick, small, table, with_row_ids
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
 #: Characters of text read before a shard is built, whatever its words.
 SHARD_BYTES = 1 << 22
-#: The benchmark is held by every task; larger ones are searched in slices of so many items.
+#: The items are held by every task; more are searched in slices of so many.
 SLICE_ITEMS = 5_000
 #: Starts examined at once for all phrases of a shard.
 STARTS = 1 << 20
 
 #: 1 for bytes of words: 0-9, a-z (A-Z are lower-cased) and all of non-ASCII characters.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 0 for c in range(256)], dtype=np.uint8)
-INDEX_SCHEMA = "rows array<long>, starts array<int>, word_bytes binary, word_ends array<int>, list_ends array<int>, positions binary"
+INDEX_SCHEMA = "shard string, rows array<long>, starts array<int>, word_bytes binary, word_ends array<int>, list_ends array<int>, positions binary"
 
 
 def find_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def build_shard(rows: list[int], texts: list[bytes]) -> dict:
     order = np.argsort(term, kind="stable")
     blob = [folded[b:e].tobytes() for b, e in zip(begin[first], end[first], strict=True)]
     return {
-        "rows": rows, "starts": starts.astype(np.int32), "word_bytes": b"".join(blob), "word_ends": np.cumsum([len(b) for b in blob]).astype(np.int32),
+        "shard": uuid.uuid4().hex, "rows": rows, "starts": starts.astype(np.int32), "word_bytes": b"".join(blob), "word_ends": np.cumsum([len(b) for b in blob]).astype(np.int32),
         "list_ends": np.cumsum(np.bincount(term, minlength=len(first))).astype(np.int32), "positions": pos[order].astype("<i4").tobytes(),
     }
 
@@ -88,7 +90,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Shards over ``docs`` (``row`` long, ``text`` string; null text has no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rows", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("word_bytes", pa.binary()), ("word_ends", pa.list_(pa.int32())), ("list_ends", pa.list_(pa.int32())), ("positions", pa.binary())])
+        schema = pa.schema([("shard", pa.string()), ("rows", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("word_bytes", pa.binary()), ("word_ends", pa.list_(pa.int32())), ("list_ends", pa.list_(pa.int32())), ("positions", pa.binary())])
         rows: list[int] = []
         texts: list[bytes] = []
         held = 0
@@ -222,8 +224,8 @@ class Queries:
             windows[i, : len(w)] = w
         return Queries(list(number), windows, np.array([len(w) for w in seen], dtype=np.int64), [sorted(x) for x in seen.values()])
 
-    def search(self, shard: Shard) -> dict[int, tuple[int, set[str]]]:
-        """For each position of a document in the shard: words that are hit, and items that occur. Documents without hits are left out."""
+    def search(self, shard: Shard) -> dict[int, tuple[list[dict], set[str]]]:
+        """For each position of a document in the shard: stretches of words that are hit, and items that occur. Documents without hits are left out."""
         term = np.array([shard.words.get(w, -1) for w in self.words] + [-1], dtype=np.int64)
         hits = np.zeros(int(shard.starts[-1]) + 1, dtype=np.int64)
         items: dict[int, set[str]] = {}
@@ -233,37 +235,65 @@ class Queries:
             doc = np.searchsorted(shard.starts, start, side="right") - 1
             for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
                 items.setdefault(d, set()).update(self.owners[w])
-        inside = np.cumsum(hits) > 0
-        total = np.concatenate([[0], np.cumsum(inside)])
-        return {d: (int(total[shard.starts[d + 1]] - total[shard.starts[d]]), x) for d, x in items.items()}
+        turn = np.diff(np.concatenate([[0], np.cumsum(hits) > 0, [0]]).astype(np.int8))
+        first, past = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        spans: dict[int, list[dict]] = {}
+        for d, a, b in zip((np.searchsorted(shard.starts, first, side="right") - 1).tolist(), first.tolist(), past.tolist(), strict=True):
+            begin = int(shard.starts[d])
+            spans.setdefault(d, []).append({"first": a - begin, "past": b - begin})
+        return {d: (spans[d], x) for d, x in items.items()}
 
 
-HIT_SCHEMA = "row long, n_words long, n_hit long, items array<string>"
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+HITS = pa.schema([("shard", pa.string()), ("place", pa.int32()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+HIT_SCHEMA = "shard string, place int, row long, n_words long, spans array<struct<first:bigint,past:bigint>>, items array<string>"
 
 
-def search_index(index: DataFrame, items: list[tuple[str, str | None]], every: bool = True) -> DataFrame:
-    """``row, n_words, n_hit, items`` of every document of the index (``every``), or of those with hits."""
+def search_slice(index: DataFrame, items: list[tuple[str, str | None]], every: bool) -> DataFrame:
+    """Hits of some items in every document of the index (``every``), or in those that have any."""
     queries = Queries.of(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
         for b in batches:
             for i in range(b.num_rows):
-                shard = Shard.load(b.slice(i, 1).to_pylist()[0])
+                raw = b.slice(i, 1).to_pylist()[0]
+                shard = Shard.load(raw)
                 found = queries.search(shard)
                 n = np.diff(shard.starts) - WINDOW
                 docs = range(len(shard.rows)) if every else sorted(found)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(shard.rows[d]) for d in docs], pa.int64()), pa.array([int(n[d]) for d in docs], pa.int64()),
-                    pa.array([found.get(d, (0, ()))[0] for d in docs], pa.int64()), pa.array([sorted(found.get(d, (0, ()))[1]) for d in docs], pa.list_(pa.string()))], schema=schema)
+                rows = [{"shard": raw["shard"], "place": d, "row": int(shard.rows[d]), "n_words": int(n[d]), "spans": found.get(d, ([], ()))[0], "items": sorted(found.get(d, ([], ()))[1])} for d in docs]
+                yield pa.RecordBatch.from_pylist(rows, schema=HITS)
 
     return index.mapInArrow(run, HIT_SCHEMA)
 
 
-def benchmark_items(spark: SparkSession, sf_dir: str) -> list[tuple[str, str | None]]:
-    """The stated query set: all items; a null item_id counts as empty text."""
-    items = pick(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return [(r[0] or "", r[1]) for r in items.select(F.col("item_id").cast("string"), "text").limit(SLICE_ITEMS + 1).collect()]
+def search_index(index: DataFrame, slices: list[list[tuple[str, str | None]]], every: bool = True) -> DataFrame:
+    """``row, n_words, n_hit, items, spans``: what all items hit in each document (``every``), or in those with hits.
+
+    ``index`` is a saved table. Each slice of items reads it once; a document's hits
+    of several slices are put together by its place in the index.
+    """
+    found = [search_slice(index, x, every and i == 0) for i, x in enumerate(slices or [[]])]
+    if len(found) == 1:
+        out = found[0]
+    else:
+        rows = found[0]
+        for f in found[1:]:
+            rows = rows.unionAll(f)
+        out = rows.groupBy("shard", "place").agg(
+            F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    zero = F.lit(0).cast("long")
+    hit = F.aggregate(
+        "spans", F.struct(zero.alias("past"), zero.alias("n")),
+        lambda a, s: F.struct(F.greatest(a["past"], s["past"]).alias("past"), (a["n"] + F.greatest(zero, s["past"] - F.greatest(a["past"], s["first"]))).alias("n")), lambda a: a["n"])
+    return out.select("row", "n_words", hit.alias("n_hit"), "items", "spans")
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> list[list[tuple[str, str | None]]]:
+    """The stated query set, all items, in slices; a null item_id counts as empty text."""
+    items = pick(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("item_id").cast("string"), "text").toLocalIterator()
+    return [[(r[0] or "", r[1]) for r in part] for part in batched(items, SLICE_ITEMS)]
 
 
 def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +304,6 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents are separate rows.
     """
     items = benchmark_items(spark, sf_dir)
-    if len(items) > SLICE_ITEMS:
-        raise ValueError(f"more than {SLICE_ITEMS} items: search the index in slices")
     scratch = Scratch(spark, "op5")
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     # the index carries the id itself; a null id takes a value that is turned back below
@@ -287,18 +315,13 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any window of the benchmark."""
-    items = benchmark_items(spark, sf_dir)
-    if len(items) > SLICE_ITEMS:
-        raise ValueError(f"more than {SLICE_ITEMS} items: search the index in slices")
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, stored: bool = False) -> DataFrame:
+    """Pipeline stage: documents without any window of the benchmark. ``stored``: ``docs`` is a Parquet table as read."""
     scratch = Scratch(spark, "clean")
-    rows, kept = guarded(docs)
-    rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))
-    text = f"_c{docs.columns.index('text')}"
-    index = scratch.save(build_index(rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))), "index")
-    hits = scratch.save(search_index(index, items, every=False).select("row"))
-    return rows.join(small(hits), F.col("_row") == F.col("row"), "left_anti").select(*kept).toDF(*docs.columns)
+    rows, kept = with_row_ids(docs, scratch, stored, "text")
+    index = scratch.save(build_index(rows.select(F.col("_node").alias("row"), F.col("_text").alias("text"))), "index")
+    hits = scratch.save(search_index(index, benchmark_items(spark, sf_dir), every=False).select("row"))
+    return rows.join(small(hits), F.col("_node") == F.col("row"), "left_anti").select(*kept).toDF(*docs.columns)
 
 
 SQL = r"""

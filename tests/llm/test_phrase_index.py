@@ -57,6 +57,15 @@ def test_small_vocabulary_equals_brute_force(spark, tmp_path, monkeypatch):
     assert run(spark, tmp_path / "t", docs, items) == brute(docs, items)
 
 
+def test_items_in_slices_give_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(px, "SLICE_ITEMS", 2)
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(i % 50, text(rng.randint(0, 60))) for i in range(80)] + [(None, "a b")]
+    items = [(i % 7, text(rng.randint(1, 13))) for i in range(9)]
+    assert run(spark, tmp_path / "t", docs, items) == brute(docs, items)
+
+
 def test_no_documents_and_no_items(spark, tmp_path):
     assert run(spark, tmp_path / "a", [], [(1, "x y")]) == []
     docs = [(1, "x y"), (2, None)]

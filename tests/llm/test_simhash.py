@@ -108,3 +108,18 @@ def test_stage_with_clashing_columns_and_no_rows(spark):
     out = simhash.keep_one(spark, docs)
     assert out.columns == docs.columns and [tuple(r)[0] for r in out.collect()] == [1]
     assert simhash.keep_one(spark, docs.limit(0)).count() == 0
+
+
+def test_one_large_group_of_near_copies_is_found_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    monkeypatch.setattr(simhash, "STRETCHES", 8)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        w[rng.randrange(150)] = f"own{i}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(1000 + i, " ".join(f"z{rng.randrange(5000)}" for _ in range(60)) + " " + " ".join(base[:40]), "s") for i in range(100)]  # share a passage alone
+    out = simhash.keep_one(spark, frame(spark, rows))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, *range(1000, 1100)]
