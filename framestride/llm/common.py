@@ -105,5 +105,26 @@ class Scratch:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_ids(docs: DataFrame, scratch: Scratch, stored: bool, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` as ``guarded`` gives it, with ``_node``: a number of its own for each row.
+
+    ``stored``: ``docs`` is a Parquet table as read, whose rows keep their file and
+    place; then nothing is written. Otherwise the numbered rows are saved first, so
+    that later reads see the same numbers.
+    """
+    if stored:
+        place = docs.metadataColumn("_metadata")
+        # one row for each file, which the driver has listed already
+        files = sorted(r[0] for r in docs.select(place["file_path"].alias("f")).distinct().collect())
+        number = docs.sparkSession.createDataFrame(list(enumerate(files)), "_no long, _file string")
+        tagged = docs.select(*[F.col(f"`{c}`") for c in docs.columns], place["file_path"].alias("_fs_file"), place["row_index"].alias("_fs_row"))
+        rows, kept = guarded(tagged, *names, "_fs_file", "_fs_row")
+        rows = rows.join(F.broadcast(number), F.col("__fs_file") == F.col("_file")).withColumn("_node", F.shiftleft("_no", 36) + F.col("__fs_row"))
+        return rows.select(*kept[:-2], *[f"_{n}" for n in names], "_node"), kept[:-2]
+    rows, kept = guarded(docs, *names)
+    rows = scratch.save(rows.select(*kept, F.monotonically_increasing_id().alias("_node")))
+    return rows.select(*kept, *[F.col(f"_c{docs.columns.index(n)}").alias(f"_{n}") for n in names], "_node"), kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framestride.llm.common import Scratch, guarded, pick, small, table
+from framestride.llm.common import Scratch, pick, small, table, with_row_ids
 
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -128,8 +128,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- the pipeline's stage
 
-#: Samples for each text, shingles in one, and how many of them a pair must share to be verified.
-SAMPLES, SHARED = 8, 2
+#: Samples of a text, and how many of them a pair must share to be verified.
+SAMPLES, SHARED = 16, 4
+#: Rows of one variant above which it is cut into stretches: so many by a further sample times so many by the text.
+HOT, STRETCHES = 1_000, 64
 SHINGLE, SIMILAR = 5, 0.8
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
 #: Words whose hashes a worker remembers.
@@ -170,6 +172,29 @@ def sketch(shingles: np.ndarray) -> list[int]:
     return [int(_mix(shingles + step).min().astype(np.int64)) for step in STEPS]
 
 
+def neighbours(few: DataFrame, scratch: Scratch) -> DataFrame:
+    """``root, other``: rows of ``few`` (``root, same, kind, variant, near``) that stand side by side in their variant.
+
+    The order is by one more sample, so similar texts are neighbours; each is
+    also put beside the first. A variant with many rows is cut into stretches, by
+    that sample and by the text (many copies of one text share all samples),
+    whose first rows then make a row of their own; so no task gets all of a hot one.
+    """
+    key = ["kind", "variant"]
+    hot = scratch.save(few.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(F.col("kind").alias("hk"), F.col("variant").alias("hv")))
+    cut = few.join(small(hot), (F.col("kind") == F.col("hk")) & (F.col("variant") == F.col("hv")), "left")
+    cut = cut.withColumn("stretch", F.when(F.col("hk").isNull(), F.lit(-1)).otherwise((F.pmod("near", F.lit(STRETCHES)) * STRETCHES + F.pmod(F.xxhash64("same"), F.lit(STRETCHES))).cast("int"))).drop("hk", "hv")
+
+    def beside(rows: DataFrame, *by: str) -> DataFrame:
+        w = W.partitionBy(*by).orderBy("near", "same")
+        return rows.select("*", F.lag("root").over(w).alias("p1"), F.lag("root", 2).over(w).alias("p2"), F.first("root").over(w).alias("p0"))
+
+    inner = beside(cut, *key, "stretch")
+    heads = beside(inner.filter("stretch >= 0 AND p1 IS NULL").drop("p0", "p1", "p2"), *key)
+    met = inner.unionAll(heads).filter("p1 IS NOT NULL")
+    return met.select("root", F.explode(F.array("p0", "p1", "p2")).alias("other"))
+
+
 def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, root`` of the rows of ``texts`` (``node`` long unique, ``text``) that have a similar row.
 
@@ -189,19 +214,21 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], ["node", "same", "fp", "sketch"])
 
     signed = scratch.save(texts.select("node", "text").mapInArrow(run, "node long, same binary, fp long, sketch array<long>"))
-    first = signed.groupBy("same").agg(F.min("node").alias("root"), F.min_by("fp", "node").alias("fp"), F.min_by("sketch", "node").alias("sketch"))
-    first = scratch.save(first)
+    first = scratch.save(signed.groupBy("same").agg(F.min("node").alias("root"), F.min_by("fp", "node").alias("fp"), F.min_by("sketch", "node").alias("sketch")))
     equal = signed.select("node", "same").join(first.select(F.col("same").alias("s"), "root"), F.col("same") == F.col("s")).filter("node <> root").select("node", "root")
 
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(1)])
-    whole = first.select("root", F.lit(-1).alias("kind"), F.explode(masks).alias("m"), "fp").select("root", "kind", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), F.lit(0).cast("long").alias("near"))
-    few = first.select("root", F.posexplode("sketch").alias("kind", "variant"), "sketch").select(
-        "root", "kind", "variant", F.get("sketch", (F.col("kind") + 1) % SAMPLES).alias("near"))
-    # a passage that many texts share puts them under one variant: in the order of another sample, similar texts stand side by side
-    w = W.partitionBy("kind", "variant").orderBy("near", "root")
-    met = whole.unionAll(few).select("root", F.lag("root").over(w).alias("p1"), F.lag("root", 2).over(w).alias("p2"), F.first("root").over(w).alias("p0"))
-    pairs = met.filter("p1 IS NOT NULL").select("root", F.explode(F.array("p0", "p1", "p2")).alias("other")).filter("other <> root").select(
-        F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct()
+    # whole texts: fingerprints of one value are linked in a row, the first of each stands for it in the ball
+    row = W.partitionBy("fp").orderBy("same")
+    fps = first.select("fp", "root", F.lag("root").over(row).alias("before"))
+    heads = scratch.save(fps.filter("before IS NULL").select("fp", "root"))
+    ends = [heads.select(F.col("fp").alias(e), F.col("root").alias(f"r{e}")) for e in "ab"]
+    balls = ball_edges(heads.select("fp"), 2).join(ends[0], "a").join(ends[1], "b").select("ra", "rb")
+    # samples: two neighbouring ones make a variant, so a passage that many texts share seldom puts them together
+    few = first.select("root", "same", F.posexplode("sketch").alias("kind", "s"), "sketch").select(
+        "root", "same", "kind", F.xxhash64("s", F.get("sketch", (F.col("kind") + 1) % SAMPLES)).alias("variant"), F.get("sketch", (F.col("kind") + 2) % SAMPLES).alias("near"))
+    met = neighbours(few, scratch)
+    pairs = fps.filter("before IS NOT NULL").select("root", F.col("before").alias("other")).unionAll(balls).unionAll(met).filter("other <> root")
+    pairs = pairs.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct()
     side = first.select("root", "sketch")
     shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     pairs = pairs.join(side.select(F.col("root").alias("a"), F.col("sketch").alias("x")), "a").join(side.select(F.col("root").alias("b"), F.col("sketch").alias("y")), "b")
@@ -224,20 +251,17 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(equal), scratch)
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, stored: bool = False) -> DataFrame:
     """Pipeline stage: one document of each group of similar texts, that with the smallest id.
 
     Repeated rows are copies too; null ids come last; texts without words form
-    one group.
+    one group. ``stored``: ``docs`` is a Parquet table as read.
     """
     scratch = Scratch(spark, "copies")
-    rows, kept = guarded(docs, "doc_id", "text")
-    rows = scratch.save(rows.drop("_doc_id", "_text").withColumn("_node", F.monotonically_increasing_id()))
-    doc_id, text = (f"_c{docs.columns.index(n)}" for n in ("doc_id", "text"))
-    roots = similar_roots(rows.select(F.col("_node").alias("node"), F.col(text).alias("text")), scratch)
-    ids = rows.select("_node", F.col(doc_id).alias("_id"))
+    rows, kept = with_row_ids(docs, scratch, stored, "doc_id", "text")
+    roots = similar_roots(rows.select(F.col("_node").alias("node"), F.col("_text").alias("text")), scratch)
     groups = roots.select("root", "node").unionAll(roots.select("root", F.col("root").alias("node")).distinct())
-    placed = groups.join(ids, F.col("node") == F.col("_node")).select("root", "node", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("node")).alias("o"))
+    placed = groups.join(rows.select("_node", "_doc_id"), F.col("node") == F.col("_node")).select("root", "node", F.struct(F.col("_doc_id").isNull(), F.col("_doc_id"), F.col("node")).alias("o"))
     stays = placed.groupBy("root").agg(F.min("o").alias("low")).withColumnRenamed("root", "r")
     gone = scratch.save(placed.join(stays, F.col("root") == F.col("r")).filter("node <> low.node").select("node"))
     return rows.join(small(gone), F.col("_node") == F.col("node"), "left_anti").select(*kept).toDF(*docs.columns)
