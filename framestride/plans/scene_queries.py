@@ -90,9 +90,8 @@ def split_summary(spark, sf_dir):
     g = F.col("scene") % 7
     t = bounds(spark, sf_dir).withColumns({"g": g, "split": F.when(g < 5, "train").when(g == 5, "valid").otherwise("test")})
     own = t.groupBy("split").agg(F.countDistinct("g").alias("n_groups"), F.count(F.lit(1)).alias("n_scenes"), F.sum("valid_frames").alias("frames"))
-    total = own.agg(F.sum("frames").alias("all"))
-    # three rows against one
-    return own.join(F.broadcast(total), F.lit(True)).select("split", "n_groups", "n_scenes", "frames", F.round(F.col("frames") / F.col("all"), 6).alias("share"))
+    total = own.select(F.sum("frames")).scalar()
+    return own.select("split", "n_groups", "n_scenes", "frames", F.round(F.col("frames") / total, 6).alias("share"))
 
 
 @query("SELECT doc_id % 40 AS visual_group, count(DISTINCT toxic) AS n_splits FROM labels GROUP BY 1 HAVING count(DISTINCT toxic) > 1")
