@@ -301,53 +301,53 @@ def read_raw(name: str, width: str) -> Iterator[tuple[int | None, np.ndarray]]:
             yield (None if none else i), np.frombuffer(exactly(n), dtype=width)
 
 
-def write_blocks(spark: SparkSession, files: list[str], where: str, freq: np.ndarray, width: str) -> DataFrame:
-    """Encode each raw file to a file of blocks: ``part, file, ids`` (its doc_ids in order), one row for each block at ``at``."""
-    shared = spark.sparkContext.broadcast(freq)
-    schema = "part int, file string, at long, size long, n_ids long, doc_ids array<long>"
+def write_blocks(files: DataFrame, where: str, freq: np.ndarray, width: str) -> DataFrame:
+    """Encode each raw file (``part, file``) to a file of blocks. Rows, one for each block:
+    ``part, file, at, size, n_ids, before`` (ids of the part ahead of it) and ``doc_ids`` in order.
+    """
+    shared = files.sparkSession.sparkContext.broadcast(freq)
+    schema = "part int, file string, at long, size long, n_ids long, before long, doc_ids array<long>"
+    kind = pa.schema([("part", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("part", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
         coder = Coder(shared.value)
         for b in batches:
-            for part in b.column(0).to_pylist():
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name = f"{where}/part-{part:06d}-{uuid.uuid4().hex}.rans"
                 fs, inner = storage(name)
                 fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                rows, place = [], 0
+                rows, place, before, total = [], 0, 0, 0
+                docs: list[int | None] = []
+                held: list[np.ndarray] = []
                 with fs.open_output_stream(inner, compression=None) as out:
-                    docs: list[int | None] = []
-                    held: list[np.ndarray] = []
 
                     def close() -> None:
-                        nonlocal place
-                        ids = np.concatenate(held)
-                        block = coder.encode(ids, [len(x) for x in held])
+                        nonlocal place, before, total
+                        block = coder.encode(np.concatenate(held), [len(x) for x in held])
                         out.write(block)
-                        rows.append({"part": part, "file": name, "at": place, "size": len(block), "n_ids": len(ids), "doc_ids": list(docs)})
-                        place += len(block)
+                        rows.append({"part": part, "file": name, "at": place, "size": len(block), "n_ids": total, "before": before, "doc_ids": list(docs)})
+                        place, before, total = place + len(block), before + total, 0
                         docs.clear()
                         held.clear()
 
-                    total = 0
-                    for i, ids in read_raw(files[part], width):
+                    for i, ids in read_raw(raw, width):
                         docs.append(i)
                         held.append(ids)
                         total += len(ids)
                         if total >= BLOCK_IDS:
                             close()
-                            total = 0
                     if held:
                         close()
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    n = max(1, len(files))
-    return spark.range(0, len(files), 1, n).mapInArrow(run, schema)
+    # a task for each file: the list is small, so its ranges hold one part each
+    n = max(1, files.count())
+    return files.select("part", "file").repartitionByRange(n, "part").mapInArrow(run, schema)
 
 
 def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Decode blocks (``part, file, at, size, doc_ids``) back: ``part, at, doc_id, before, n_tokens, ids_crc32``; ``before`` counts the block's ids ahead."""
+    """Decode blocks back: ``part, doc_id, before, n_tokens, ids_crc32``; ``before`` counts the part's ids ahead."""
     shared = blocks.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,29 +363,28 @@ def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
                 crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(begins, ends, strict=True)]
                 k = len(crc)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r["part"]] * k, pa.int32()), pa.array([r["at"]] * k, pa.int64()), pa.array(r["doc_ids"], pa.int64()),
-                    pa.array(begins, pa.int64()), pa.array(block.lengths, pa.int64()), pa.array(crc, pa.int64())], ["part", "at", "doc_id", "before", "n_tokens", "ids_crc32"])
+                    pa.array([r["part"]] * k, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(begins + r["before"], pa.int64()), pa.array(block.lengths, pa.int64()), pa.array(crc, pa.int64())],
+                    ["part", "doc_id", "before", "n_tokens", "ids_crc32"])
 
-    return blocks.select("part", "file", "at", "size", "doc_ids").mapInArrow(run, "part int, at long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return blocks.select("part", "file", "at", "size", "before", "doc_ids").mapInArrow(run, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
 def encode_table(docs: DataFrame, scratch: Scratch, path: str, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """Write ``docs`` (``doc_id, text``) as rANS files; returns the saved list of blocks and the shared table.
 
-    The list of files has a row for each part, the table one for each id of the
-    vocabulary; both are all that reaches the driver.
+    There are as many parts as shuffle partitions, or as the table's own if those
+    are more. Only the counts, one for each id of the vocabulary, reach the driver.
     """
     spark = docs.sparkSession
     size, width = vocabulary(path)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     told = scratch.save(write_tokens(docs, scratch.path("raw"), path, parts))
     counts = np.zeros(size, dtype=np.int64)
     for r in told.filter("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
-    files = [r["file"] for r in told.filter("file IS NOT NULL AND n > 0").orderBy("part").collect()]
     counts[END] = max(counts[END], 1)
     freq = frequencies(counts)
-    blocks = scratch.save(write_blocks(spark, files, scratch.path("rans"), freq, width))
+    blocks = scratch.save(write_blocks(told.filter("file IS NOT NULL AND n > 0"), scratch.path("rans"), freq, width))
     scratch.remove(scratch.path("raw"))
     return blocks, freq
 
@@ -397,10 +396,9 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     scratch = Scratch(spark, "op1")
     blocks, freq = encode_table(docs, scratch, public_tokenizers.path(VOCABULARY))
-    # one row for each block: its place among all ids
-    order = sorted(((r["part"], r["at"], r["n_ids"]) for r in blocks.select("part", "at", "n_ids").collect()))
-    firsts = np.concatenate([[0], np.cumsum([n for *_, n in order])]).tolist()
-    starts = spark.createDataFrame([(p, a, firsts[i]) for i, (p, a, _) in enumerate(order)], "p int, a long, first long")
+    # one row for each part: its place among all ids
+    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    firsts = np.concatenate([[0], np.cumsum([r["n"] for r in sums], dtype=np.int64)]).tolist()
+    starts = spark.createDataFrame([(r["part"], firsts[i]) for i, r in enumerate(sums)], "p int, first long")
     back = read_blocks(blocks, freq)
-    return back.join(F.broadcast(starts), (F.col("part") == F.col("p")) & (F.col("at") == F.col("a"))).select(
-        "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return back.join(F.broadcast(starts), F.col("part") == F.col("p")).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
