@@ -6,6 +6,8 @@ in, comparisons with NULL are no flags, and divisions by zero give NULL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once for each row, also where lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(c: Column | str) -> Column:
     """The value, or NULL where it is NaN or infinite."""
     c = col(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framestride.functions.columns import col, ratio
+from framestride.functions.columns import col, let, ratio
 
 
 def total(x: Column | str) -> Column:
@@ -18,7 +18,7 @@ def dot(x: Column | str, y: Column | str) -> Column:
 
 def l1_unit(x: Column | str) -> Column:
     """Divided by its sum; NULL for an all-zero vector."""
-    return F.transform(col(x), lambda v: ratio(v, total(x)))
+    return let(total(x), lambda t: F.transform(col(x), lambda v: ratio(v, t)))
 
 
 def scaled(x: Column | str, by: float) -> Column:
@@ -27,8 +27,7 @@ def scaled(x: Column | str, by: float) -> Column:
 
 def l2_unit(x: Column | str) -> Column:
     """Divided by its length; an all-zero vector stays."""
-    norm = F.sqrt(dot(x, x))
-    return F.transform(col(x), lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    return let(F.sqrt(dot(x, x)), lambda norm: F.transform(col(x), lambda v: F.when(norm > 0, v / norm).otherwise(v)))
 
 
 def bhattacharyya(p: Column | str, q: Column | str) -> Column:

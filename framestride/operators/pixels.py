@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framestride.functions.columns import correlation, ratio, uint8, unbiased_kurtosis
+from framestride.functions.columns import correlation, let, ratio, uint8, unbiased_kurtosis
 
 # Grey weights, and limits of black, white, stripes, blocks, masks and regions.
 GREY = (0.299, 0.587, 0.114)
@@ -93,8 +93,7 @@ def laplacian(grid: Column, height: int, width: int, kernel: int = 1) -> Column:
 def variance(x: Column) -> Column:
     """Population variance of an array."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    mean = total(x) / F.size(x)
-    return total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
+    return let(x, lambda a: let(total(a) / F.size(a), lambda mean: total(F.transform(a, lambda v: (v - mean) * (v - mean))) / F.size(a)))
 
 
 def residual_metrics(px: DataFrame, key: str = "frame", order: tuple[str, ...] = ("x",), original: str = "original", clean: str = "clean") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framestride.functions.columns import let
 from framestride.functions.vectors import bhattacharyya as bhattacharyya_distance
 from framestride.functions.vectors import mean_abs_difference
 from framestride.operators import masks, pixels, summary
@@ -194,7 +195,7 @@ def dilate(spark, sf_dir):
 @query(f"""{WITH}{GRID}, b AS (SELECT p.frame, p.y, p.x, ({' + '.join(f'(g.px[(least(7, greatest(0, p.y + {dy})) * 8 + least(7, greatest(0, p.x + {dx})) + 1)::INT] >= 127)::INT' for dy in (-1, 0, 1) for dx in (-1, 0, 1))}) / 9 AS density FROM px p JOIN grid g ON p.frame = g.frame)
 SELECT frame, round(avg(density), 6) AS mean_density, count(*) FILTER (WHERE density >= 0.72::DOUBLE) AS dense FROM b GROUP BY frame""")
 def box_density(spark, sf_dir):
-    g = grids(spark, sf_dir).select("frame", masks.box_mean(F.transform("px", lambda p: (p >= 127).cast("double")), 8, 8, 3).alias("d"))
+    g = grids(spark, sf_dir).select("frame", let(F.transform("px", lambda p: (p >= 127).cast("double")), lambda m: masks.box_mean(m, 8, 8, 3)).alias("d"))
     total = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
     return g.select("frame", F.round(total / 64, 6).alias("mean_density"), F.size(F.filter("d", lambda v: v >= masks.DENSITY_LIMIT)).cast("long").alias("dense"))
 
