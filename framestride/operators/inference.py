@@ -7,18 +7,41 @@ neural nets, video codecs and image-quality models are outside this library.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framestride.operators.relational import missing
+from framestride.functions.columns import finite
+from framestride.operators.relational import missing, require
 from framestride.operators.sequence import block, with_halo
 
 Model = Callable[[list[np.ndarray]], list[np.ndarray]]
 
 
+@dataclass(frozen=True)
+class TrainingConfig:
+    """What a trainer outside this library is told; written beside its model."""
+
+    patch: int = 128
+    batch: int = 8
+    depth: int = 4
+    channels: int = 48
+    residual: bool = True
+    epochs: int = 50
+    steps: int = 2000
+    precision: str = "32"
+    clip: float = 1.0
+
+
+def history(epochs: DataFrame) -> DataFrame:
+    """``epoch, train_loss, val_loss, minutes`` as they are; fails at a loss that isn't finite."""
+    ok = finite("train_loss").isNotNull() & finite("val_loss").isNotNull()
+    return require(epochs.select("epoch", "train_loss", "val_loss", "minutes"), ok, "a loss isn't finite")
+
+
 def checked(model: Model, images: list[np.ndarray]) -> list[np.ndarray]:
     """The model's images; fails on another number of them, another shape, or values that aren't finite."""
     out = model(images)

@@ -211,6 +211,13 @@ def test_resume_runs_what_is_missing_and_checks_the_model(spark):
             inference.checked(bad, images_)
 
 
+def test_history_stops_at_a_loss_that_is_not_finite(spark):
+    good = spark.createDataFrame([(1, 0.5, 0.6, 2.0), (2, 0.4, 0.5, 2.0)], "epoch int, train_loss double, val_loss double, minutes double")
+    assert inference.history(good).count() == 2 and inference.TrainingConfig().steps == 2000
+    with pytest.raises(Exception, match="isn't finite"):
+        inference.history(good.withColumn("val_loss", F.lit(float("nan")))).collect()
+
+
 def test_tiles_cover_the_image():
     x = np.random.default_rng(0).random((150, 301))
     assert np.allclose(inference.run_tiled(lambda b: b, x), x)
