@@ -135,7 +135,7 @@ HOT, STRETCHES = 1_000, 64
 SHINGLE, SIMILAR = 5, 0.8
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
 #: Words whose hashes a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 class _WordHash(dict):
