@@ -7,6 +7,8 @@ columns of one name) neither reach the result nor make a reference ambiguous.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -61,7 +63,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="framestride-")
+        folder = tempfile.mkdtemp(prefix="framestride-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

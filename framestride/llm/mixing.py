@@ -22,8 +22,8 @@ LEVELS, BITS = 4, 12
 WEIGHTS = (5, 2, 1)
 #: A source's target is at most so many times its size.
 MAX_REPEAT = 3
-#: Tables of so many sources at most are broadcast; larger ones are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+#: Sources whose sizes the driver shares out, and whose plan is broadcast: some 100 bytes each.
+MAX_SOURCES = 1_000_000
 
 
 def mix_hash(doc_id: Column) -> Column:
@@ -66,7 +66,8 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
 
     ``slim``: ``_source, _size, _hash``. The threshold takes the longest run of
     the hash order whose words stay within the budget; a tie in the hash is
-    taken or left as a whole.
+    taken or left as a whole. ``plan`` has at most ``MAX_SOURCES`` rows, so it is
+    broadcast to the documents.
     """
     state = plan.select("_source", F.col("_budget"), F.lit(0).cast("long").alias("_below"))
     for level in range(LEVELS):
@@ -74,7 +75,7 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
         inside = slim
         if level:
             # the boundary bucket alone
-            inside = slim.join(_small(state.select(F.col("_source").alias("_s"), "_below")), F.col("_source").eqNullSafe(F.col("_s"))).filter(
+            inside = slim.join(F.broadcast(state.select(F.col("_source").alias("_s"), "_below")), F.col("_source").eqNullSafe(F.col("_s"))).filter(
                 F.shiftright("_hash", shift + BITS) == F.shiftright("_below", shift + BITS))
         sums = inside.groupBy("_source", F.shiftright("_hash", shift).alias("_b")).agg(F.sum("_size").alias("_n"))
         run = sums.withColumn("_run", F.sum("_n").over(W.partitionBy("_source").orderBy("_b")))
@@ -93,17 +94,13 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("_source", "_below")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if getattr(df, "_few", True) else df
-
-
 def mix_plan(slim: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each source: ``_s, _source_size, _target, _whole`` (full passes), ``_below``."""
     spark = slim.sparkSession
     sizes = slim.groupBy("_source").agg(F.sum("_size").alias("n"))
-    few = sizes.limit(BROADCAST_SOURCES + 1).collect()
-    if len(few) > BROADCAST_SOURCES:
-        raise ValueError(f"more than {BROADCAST_SOURCES} sources: group them first, weights by rank have no meaning there")
+    few = sizes.limit(MAX_SOURCES + 1).collect()
+    if len(few) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: group them first, weights by rank have no meaning there")
     want = targets([(r["_source"], r["n"]) for r in few])
     rows = []
     for r in few:
@@ -119,7 +116,7 @@ def mix_plan(slim: DataFrame, scratch: Scratch) -> DataFrame:
 def with_copies(df: DataFrame, plan: DataFrame, source: str, hashed: str) -> DataFrame:
     """``df`` with its source's plan and ``_copies``, how often the mix takes the row.
 
-    ``plan`` has at most ``BROADCAST_SOURCES`` rows (checked when it was made).
+    ``plan`` has at most ``MAX_SOURCES`` rows (checked when it was made).
     """
     return df.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("_s")), "left").withColumn(
         "_copies", F.col("_whole") + (F.col(hashed) < F.col("_below")).cast("int"))

@@ -390,7 +390,11 @@ def encode_table(docs: DataFrame, scratch: Scratch, path: str, parts: int | None
 
 
 def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode, read the files back and tell each document's place, length and checksum."""
+    """Encode, read the files back and tell each document's place, length and checksum.
+
+    Null and empty texts have the end id alone; null ids come first; repeated rows
+    each have a place; an empty table gives none.
+    """
     import public_tokenizers
 
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -63,7 +63,10 @@ def place(rows: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> Da
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's slot, shard number and shard name."""
+    """Every document's slot, shard number and shard name.
+
+    Null ids share a shard, repeated ids too; an empty table gives no rows.
+    """
     docs = pick(table(spark, sf_dir, "documents"), "doc_id")
     return place(docs, "doc_id", shard_names()).select(
         "doc_id", F.col("_slot").alias("slot"), F.col("_shard").cast("long").alias("shard"), F.format_string("shard-%05d", "_shard").alias("shard_name"))
