@@ -11,7 +11,8 @@ is hot. Exact copies share a fingerprint and are merged beforehand.
 The pipeline stage asks for similar five-word shingles (Jaccard 0.8 or more).
 A ball of radius 2 finds few of those (see the README for figures), so there each text
 also emits fingerprints of small min-wise samples of its shingles, with radius 0,
-and the pairs that meet are verified on the whole sets of shingles.
+and the pairs that meet are verified on the whole sets of shingles. What these
+leave apart goes through an exact set-similarity join on prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,6 +134,10 @@ SAMPLES, SHARED = 16, 4
 #: Rows of one variant above which it is cut into stretches: so many by a further sample times so many by the text.
 HOT, STRETCHES = 1_000, 64
 SHINGLE, SIMILAR = 5, 0.8
+#: Bytes of text over which shingles are counted for the order of the exact join.
+COUNTED = 32 << 20
+#: Bits of the bitmap that rules out pairs before their sets are compared.
+BITS = 1024
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
 #: Words whose hashes a worker remembers.
 MEMORY = 150_000
@@ -172,6 +177,14 @@ def sketch(shingles: np.ndarray) -> list[int]:
     return [int(_mix(shingles + step).min().astype(np.int64)) for step in STEPS]
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` classes of a set's hashes whether it holds an odd number of them, as signed integers.
+
+    Bitmaps of two sets differ in no more bits than the sets in elements.
+    """
+    return np.packbits(np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view("<i8")
+
+
 def neighbours(few: DataFrame, scratch: Scratch) -> DataFrame:
     """``root, other``: rows of ``few`` (``root, same, kind, variant, near``) that stand side by side in their variant.
 
@@ -195,6 +208,88 @@ def neighbours(few: DataFrame, scratch: Scratch) -> DataFrame:
     return met.select("root", F.explode(F.array("p0", "p1", "p2")).alias("other"))
 
 
+def similar(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs`` (saved ``a, b``) whose whole sets of shingles have a Jaccard of ``SIMILAR`` or more."""
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(words_of(t.as_py()))).view(np.int64) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    have = texts.select("node", "text").join(small(wanted), F.col("node") == F.col("want"), "left_semi").mapInArrow(sets, "node long, shingles array<long>")
+    have = scratch.save(have)
+    joined = pairs.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    close = joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("i") >= SIMILAR * (F.col("n") - F.col("i")))
+    out = scratch.save(close.select("a", "b"))
+    scratch.drop(have)
+    return out
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in three or more of some texts (``COUNTED`` bytes of them about), ascending, and their counts."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(-(-total // COUNTED) or 1)) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(t.as_py()))).view(np.int64), pa.int64())], ["s"])
+
+    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").toArrow()
+    s, n = (often.column(i).to_numpy().astype(np.int64) for i in range(2))
+    s = s.view(np.uint64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rarest first, of which one is in every set with a Jaccard of 0.8 or more."""
+    n = len(shingles)
+    keep = n - -(-4 * n // 5) + 1 if n else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = np.where(common[at] == shingles, counts[at], 0)
+        shingles = shingles[np.argsort(often, kind="stable")]
+    return shingles[:keep]
+
+
+def prefix_pairs(texts: DataFrame, firsts: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: candidates for all similar pairs of ``firsts`` (``root``) that ``roots`` (``node, root``) leaves in two groups.
+
+    Shingles have one order, rarest first by a count over some texts, then by hash;
+    any one order keeps the result exact. The first shingle that a pair shares is among
+    the first n - ceil(0.8 n) + 1 of the larger set and the first n - ceil(8 n / 9) + 1
+    of the smaller (prefix filter); sizes differ by a fifth at most (length filter);
+    and from it on both sets have 4 / 9 of the sum of sizes left (positional filter).
+    Shingles of one group alone are dropped, and rows of a shingle's largest group
+    are not put beside each other, so a large group makes no squares.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(common_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()))) for t in b.column(1).cast(pa.binary())]
+            heads = [prefix(s, common, counts).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["node", "n", "heads"])
+
+    groups = firsts.join(roots.select(F.col("node").alias("member"), F.col("root").alias("r")), F.col("root") == F.col("member"), "left").select(F.col("root").alias("first"), F.coalesce("r", "root").alias("part"))
+    heads = texts.select("node", "text").mapInArrow(run, "node long, n int, heads array<long>")
+    heads = heads.join(small(scratch.save(groups)), F.col("node") == F.col("first"))
+    places = heads.select("node", "part", "n", F.posexplode("heads").alias("i", "s"))
+    w = W.partitionBy("s")
+    met = places.select("*", F.min("part").over(w).alias("lo"), F.max("part").over(w).alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    met = scratch.save(met.select("*", (F.col("part") == F.mode("part").over(w)).alias("main")))
+    # the larger set asks; rows of the main group ask the others alone
+    asks = met.select("s", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"), F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main"))
+    told = met.filter("9 * (n - i) >= 8 * n").select("s", "main", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    fits = "pa <> pb AND (nb < na OR nb = na AND b < a) AND 5L * nb >= 4L * na AND 9L * least(na - ia, nb - ib) >= 4L * (na + nb)"
+    return asks.join(told, ["s", "main"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, root`` of the rows of ``texts`` (``node`` long unique, ``text``) that have a similar row.
 
@@ -205,16 +300,21 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, fps, sk = [], [], []
+            keys, fps, sk, sizes, bits = [], [], [], [], []
             for t in b.column(1).cast(pa.binary()):
                 w = words_of(t.as_py())
                 keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
                 fps.append(fingerprint(w, SHINGLE))
-                sk.append(sketch(shingle_hashes(w)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], ["node", "same", "fp", "sketch"])
-
-    signed = scratch.save(texts.select("node", "text").mapInArrow(run, "node long, same binary, fp long, sketch array<long>"))
-    first = scratch.save(signed.groupBy("same").agg(F.min("node").alias("root"), F.min_by("fp", "node").alias("fp"), F.min_by("sketch", "node").alias("sketch")))
+                found = np.unique(shingle_hashes(w))
+                sk.append(sketch(found))
+                sizes.append(len(found))
+                bits.append(bitmap(found))
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))],
+                ["node", "same", "fp", "sketch", "n", "bits"])
+
+    signed = scratch.save(texts.select("node", "text").mapInArrow(run, "node long, same binary, fp long, sketch array<long>, n int, bits array<long>"))
+    first = scratch.save(signed.groupBy("same").agg(F.min("node").alias("root"), F.min_by("fp", "node").alias("fp"), *[F.min_by(c, "node").alias(c) for c in ("sketch", "n", "bits")]))
     equal = signed.select("node", "same").join(first.select(F.col("same").alias("s"), "root"), F.col("same") == F.col("s")).filter("node <> root").select("node", "root")
 
     # whole texts: fingerprints of one value are linked in a row, the first of each stands for it in the ball
@@ -229,26 +329,23 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     met = neighbours(few, scratch)
     pairs = fps.filter("before IS NOT NULL").select("root", F.col("before").alias("other")).unionAll(balls).unionAll(met).filter("other <> root")
     pairs = pairs.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct()
-    side = first.select("root", "sketch")
-    shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    pairs = pairs.join(side.select(F.col("root").alias("a"), F.col("sketch").alias("x")), "a").join(side.select(F.col("root").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = scratch.save(pairs.filter(shared >= SHARED).select("a", "b"))
 
-    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
+    def may(some: DataFrame, least: int) -> DataFrame:
+        """Of ``some`` pairs those with ``least`` shared samples whose bitmaps don't rule out a Jaccard of 0.8."""
+        for e in "ab":
+            some = some.join(first.select(F.col("root").alias(e), F.struct("sketch", "n", "bits").alias(f"of_{e}")), e)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(shingle_hashes(words_of(t.as_py()))).view(np.int64) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+        def both(c: str, f) -> Column:
+            return F.aggregate(F.zip_with(f"of_a.{c}", f"of_b.{c}", f), F.lit(0), lambda s, v: s + v)
 
-    have = texts.select("node", "text").join(small(wanted), F.col("node") == F.col("want"), "left_semi").mapInArrow(sets, "node long, shingles array<long>")
-    have = scratch.save(have)
-    joined = pairs.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    close = joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("i") >= SIMILAR * (F.col("n") - F.col("i")))
-    # groups of different texts, then the equal texts of each
-    roots = components(close.select("a", "b"), scratch)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(equal), scratch)
+        differ = both("bits", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        some = some.filter(both("sketch", lambda p, q: (p == q).cast("int")) >= least) if least else some
+        return scratch.save(some.filter(9 * differ <= F.col("of_a.n") + F.col("of_b.n")).select("a", "b"))
+
+    # groups of different texts that neighbours give, then what these leave by the exact join, then the equal texts of each
+    roots = components(similar(texts, may(pairs, SHARED), scratch), scratch)
+    rest = similar(texts, may(prefix_pairs(texts, first.select("root"), roots, scratch), 0), scratch)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest).unionAll(equal), scratch)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, stored: bool = False) -> DataFrame:

@@ -123,3 +123,67 @@ def test_one_large_group_of_near_copies_is_found_in_stretches(spark, monkeypatch
     rows += [(1000 + i, " ".join(f"z{rng.randrange(5000)}" for _ in range(60)) + " " + " ".join(base[:40]), "s") for i in range(100)]  # share a passage alone
     out = simhash.keep_one(spark, frame(spark, rows))
     assert sorted(r["doc_id"] for r in out.collect()) == [0, *range(1000, 1100)]
+
+
+def template_rows(seed, share, texts, pairs, size=200):
+    """Texts of which a share of the words is one template, and copies of some with a part of their own words changed."""
+    rng = random.Random(seed)
+    own = size - int(share * size)
+    template = [f"t{i}" for i in range(size - own)]
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(own)]), "s") for i in range(texts)]
+    for i in range(pairs):
+        w = rows[i][1].split()
+        for k in range(rng.choice([own // 4, own // 2])):
+            w[-1 - k] = f"c{i}x{k}"
+        rows.append((texts + i, " ".join(w), "s"))
+    return rows
+
+
+def sets_of(rows):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t, _ in rows)]
+
+
+def kept_by_brute_force(rows):
+    sets, root = sets_of(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [rows[i][0] for i in range(len(rows)) if root[i] == i]
+
+
+@pytest.mark.parametrize("share", [0.75, 0.85])
+def test_near_copies_among_texts_of_one_template_equal_brute_force(spark, share):
+    rows = template_rows(5, share, 600, 150)
+    want = kept_by_brute_force(rows)
+    assert 600 <= len(want) < 700
+    assert sorted(r["doc_id"] for r in simhash.keep_one(spark, frame(spark, rows)).collect()) == want
+
+
+def test_prefix_join_alone_finds_every_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 20_000)  # a part is counted; the order is then another, the pairs are the same
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(vocab) for _ in range(rng.choice([3, 5, 9, 30, 120]))]
+        for k in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "other"
+            rows.append((4 * i + k, " ".join(w[: max(1, len(w) - rng.randint(0, len(w) // 5))]), "s"))
+    sets = sets_of(rows)
+    near = {(j, i) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    texts = frame(spark, rows).selectExpr("doc_id AS node", "text")
+    scratch = Scratch(spark, "t")
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = scratch.save(simhash.prefix_pairs(texts, texts.selectExpr("node AS root"), none, scratch))
+    assert near and {tuple(r) for r in simhash.similar(texts, pairs, scratch).collect()} == near
