@@ -189,7 +189,8 @@ class Tokens(dict):
     pre-tokenization splits, so the ids of the pieces in turn are those of the
     text. Runs beside a character of no listed class, and all of a text with an
     apostrophe, are cut at white space alone; texts with separators that Python
-    and the tokenizer class differently go whole.
+    and the tokenizer class differently, and texts with an added token's content
+    (``<|endoftext|>``), go whole.
     """
 
     SPACE = r"[\s\x1c-\x1f\x85]"
@@ -204,7 +205,7 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width, self.memory = width, memory
         self.fine = re.compile(self.FINE).findall
         self.coarse = re.compile(self.COARSE).findall
@@ -233,7 +234,7 @@ class Tokens(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
+        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85") or any(a in text for a in self.added):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.coarse(text) if "'" in text else self.fine(text)))
 

@@ -91,3 +91,17 @@ def test_frequencies_sum_up(counts):
     if counts.sum():
         freq = rans.frequencies(counts)
         assert freq.sum() == 1 << rans.SCALE and ((freq > 0) == (counts > 0)).all()
+
+
+def test_added_tokens_are_those_of_the_plain_call(spark, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y's  z", "<|endoftext|", "a b"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [0], dtype="<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert want[0][2] == 5
+    got = [tuple(r) for r in rans.op1_rans_tokens(spark, write_documents(spark, tmp_path / "t", rows)).collect()]
+    assert sorted(got) == want
