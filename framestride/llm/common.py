@@ -103,6 +103,10 @@ class Scratch:
         """Remove a saved table that nothing reads any longer."""
         self.remove(df._scratch_path)
 
+    def clear(self) -> None:
+        """Remove all that was written here, once nothing reads it any longer."""
+        self.remove(self.root)
+
     def remove(self, where: str) -> None:
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(where)
@@ -121,10 +125,13 @@ def with_row_ids(docs: DataFrame, scratch: Scratch, stored: bool, *names: str) -
         # one row for each file, which the driver has listed already
         files = sorted(r[0] for r in docs.select(place["file_path"].alias("f")).distinct().collect())
         number = docs.sparkSession.createDataFrame(list(enumerate(files)), "_no long, _file string")
-        tagged = docs.select(*[F.col(f"`{c}`") for c in docs.columns], place["file_path"].alias("_fs_file"), place["row_index"].alias("_fs_row"))
-        rows, kept = guarded(tagged, *names, "_fs_file", "_fs_row")
-        rows = rows.join(F.broadcast(number), F.col("__fs_file") == F.col("_file")).withColumn("_node", F.shiftleft("_no", 36) + F.col("__fs_row"))
-        return rows.select(*kept[:-2], *[f"_{n}" for n in names], "_node"), kept[:-2]
+        have = docs.columns
+        kept = [f"_c{i}" for i in range(len(have))]
+        # by position, so no column of the table can be taken for the place
+        rows = docs.select("*", place["file_path"], place["row_index"]).toDF(*kept, "_path", "_place")
+        rows = rows.join(F.broadcast(number), F.col("_path") == F.col("_file"), "left")
+        node = F.shiftleft(F.coalesce("_no", F.raise_error(F.lit("a file that was not listed"))), 36) + F.col("_place")
+        return rows.select(*kept, *[F.col(f"_c{have.index(n)}").alias(f"_{n}") for n in names], node.alias("_node")), kept
     rows, kept = guarded(docs, *names)
     rows = scratch.save(rows.select(*kept, F.monotonically_increasing_id().alias("_node")))
     return rows.select(*kept, *[F.col(f"_c{docs.columns.index(n)}").alias(f"_{n}") for n in names], "_node"), kept

@@ -321,6 +321,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, stored: bool = Fals
     rows, kept = with_row_ids(docs, scratch, stored, "text")
     index = scratch.save(build_index(rows.select(F.col("_node").alias("row"), F.col("_text").alias("text"))), "index")
     hits = scratch.save(search_index(index, benchmark_items(spark, sf_dir), every=False).select("row"))
+    scratch.drop(index)
     return rows.join(small(hits), F.col("_node") == F.col("row"), "left_anti").select(*kept).toDF(*docs.columns)
 
 

@@ -11,8 +11,9 @@ is hot. Exact copies share a fingerprint and are merged beforehand.
 The pipeline stage asks for similar five-word shingles (Jaccard 0.8 or more).
 A ball of radius 2 finds few of those (see the README for figures), so there each text
 also emits fingerprints of small min-wise samples of its shingles, with radius 0,
-and the pairs that meet are verified on the whole sets of shingles. What these
-leave apart goes through an exact set-similarity join on prefixes of the sets.
+and the pairs that meet are verified on the whole sets of shingles: all pairs of a
+variant with few texts, and for texts of fuller ones all that an exact
+set-similarity join on rarest-first prefixes of the sets finds.
 """
 
 from __future__ import annotations
@@ -131,11 +132,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Samples of a text, and how many of them a pair must share to be verified.
 SAMPLES, SHARED = 16, 4
-#: Rows of one variant above which it is cut into stretches: so many by a further sample times so many by the text.
+#: Variants hold two neighbouring samples; every so many of them link large groups beforehand.
+LINKING = 4
+#: Rows of one variant above which it is cut into stretches for that: so many by a further sample times so many by the text.
 HOT, STRETCHES = 1_000, 64
+#: Texts of one variant up to which all its pairs are candidates; the texts of a fuller one go to the exact join.
+FULL = 64
 SHINGLE, SIMILAR = 5, 0.8
-#: Bytes of text over which shingles are counted for the order of the exact join.
-COUNTED = 32 << 20
 #: Bits of the bitmap that rules out pairs before their sets are compared.
 BITS = 1024
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
@@ -188,10 +191,11 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 def neighbours(few: DataFrame, scratch: Scratch) -> DataFrame:
     """``root, other``: rows of ``few`` (``root, same, kind, variant, near``) that stand side by side in their variant.
 
-    The order is by one more sample, so similar texts are neighbours; each is
-    also put beside the first. A variant with many rows is cut into stretches, by
-    that sample and by the text (many copies of one text share all samples),
-    whose first rows then make a row of their own; so no task gets all of a hot one.
+    This links most of a large group by a few pairs a text; what it leaves apart
+    is found later. The order is by one more sample, so similar texts are
+    neighbours. A variant with many rows is cut into stretches, by that sample
+    and by the text (many copies of one text share all samples), whose first
+    rows then make a row of their own; so no task gets all of a hot one.
     """
     key = ["kind", "variant"]
     hot = scratch.save(few.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(F.col("kind").alias("hk"), F.col("variant").alias("hv")))
@@ -199,13 +203,37 @@ def neighbours(few: DataFrame, scratch: Scratch) -> DataFrame:
     cut = cut.withColumn("stretch", F.when(F.col("hk").isNull(), F.lit(-1)).otherwise((F.pmod("near", F.lit(STRETCHES)) * STRETCHES + F.pmod(F.xxhash64("same"), F.lit(STRETCHES))).cast("int"))).drop("hk", "hv")
 
     def beside(rows: DataFrame, *by: str) -> DataFrame:
-        w = W.partitionBy(*by).orderBy("near", "same")
-        return rows.select("*", F.lag("root").over(w).alias("p1"), F.lag("root", 2).over(w).alias("p2"), F.first("root").over(w).alias("p0"))
+        return rows.withColumn("other", F.lag("root").over(W.partitionBy(*by).orderBy("near", "same")))
 
     inner = beside(cut, *key, "stretch")
-    heads = beside(inner.filter("stretch >= 0 AND p1 IS NULL").drop("p0", "p1", "p2"), *key)
-    met = inner.unionAll(heads).filter("p1 IS NOT NULL")
-    return met.select("root", F.explode(F.array("p0", "p1", "p2")).alias("other"))
+    heads = beside(inner.filter("stretch >= 0 AND other IS NULL"), *key)
+    return inner.unionAll(heads).filter("other IS NOT NULL").select("root", "other")
+
+
+def grouped(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """``first`` (``root`` and more) with ``part``: the group that ``roots`` (``node, root``) gives it, or itself."""
+    return first.join(roots.select(F.col("node").alias("_m"), F.col("root").alias("_r")), F.col("root") == F.col("_m"), "left").withColumn("part", F.coalesce("_r", "root")).drop("_m", "_r")
+
+
+def variants(first: DataFrame) -> DataFrame:
+    """The ``SAMPLES`` rows of each of ``first`` (``root, sketch`` and more): ``kind, variant, near`` and the others."""
+    more = [c for c in first.columns if c != "sketch"]
+    return first.select(*more, F.posexplode("sketch").alias("kind", "s"), "sketch").select(
+        *more, "kind", F.xxhash64("s", F.get("sketch", (F.col("kind") + 1) % SAMPLES)).alias("variant"), F.get("sketch", (F.col("kind") + 2) % SAMPLES).alias("near"))
+
+
+def divided(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``root, part, kind, variant, n`` of the rows of ``placed`` whose variant holds ``n`` texts of two groups or more."""
+    sizes = placed.groupBy("kind", "variant").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
+    sizes = small(scratch.save(sizes.select(F.col("kind").alias("hk"), F.col("variant").alias("hv"), "n")))
+    return scratch.save(placed.join(sizes, (F.col("kind") == F.col("hk")) & (F.col("variant") == F.col("hv"))).select("root", "part", "kind", "variant", "n"))
+
+
+def within(met: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of different groups in the variants of ``met`` that hold ``FULL`` texts or fewer."""
+    few = met.filter(F.col("n") <= FULL)
+    other = few.select("kind", "variant", F.col("root").alias("b"), F.col("part").alias("pb"))
+    return few.select("kind", "variant", F.col("root").alias("a"), F.col("part").alias("pa")).join(other, ["kind", "variant"]).filter("a < b AND pa <> pb").select("a", "b").distinct()
 
 
 def similar(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -227,62 +255,56 @@ def similar(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in three or more of some texts (``COUNTED`` bytes of them about), ascending, and their counts."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(-(-total // COUNTED) or 1)) == 0).select("text")
+def prefixes(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, n, i, s, c``: the shingles of the prefixes of ``texts`` (``node, text``) that two texts or more have.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(t.as_py()))).view(np.int64), pa.int64())], ["s"])
-
-    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").toArrow()
-    s, n = (often.column(i).to_numpy().astype(np.int64) for i in range(2))
-    s = s.view(np.uint64)
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rarest first, of which one is in every set with a Jaccard of 0.8 or more."""
-    n = len(shingles)
-    keep = n - -(-4 * n // 5) + 1 if n else 0
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        often = np.where(common[at] == shingles, counts[at], 0)
-        shingles = shingles[np.argsort(often, kind="stable")]
-    return shingles[:keep]
-
-
-def prefix_pairs(texts: DataFrame, firsts: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b``: candidates for all similar pairs of ``firsts`` (``root``) that ``roots`` (``node, root``) leaves in two groups.
-
-    Shingles have one order, rarest first by a count over some texts, then by hash;
-    any one order keeps the result exact. The first shingle that a pair shares is among
-    the first n - ceil(0.8 n) + 1 of the larger set and the first n - ceil(8 n / 9) + 1
-    of the smaller (prefix filter); sizes differ by a fifth at most (length filter);
-    and from it on both sets have 4 / 9 of the sum of sizes left (positional filter).
-    Shingles of one group alone are dropped, and rows of a shingle's largest group
-    are not put beside each other, so a large group makes no squares.
+    Shingles have one order, rarest first by their count ``c`` over all these texts, then
+    by hash; ``i`` is the place in it, ``n`` the size of the whole set. Of two similar
+    sets the first shingle they share is among the first n - ceil(0.8 n) + 1 of
+    the larger. Shingles of one text are counted as places but not sent on.
     """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(common_shingles(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()))) for t in b.column(1).cast(pa.binary())]
-            heads = [prefix(s, common, counts).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["node", "n", "heads"])
-
-    groups = firsts.join(roots.select(F.col("node").alias("member"), F.col("root").alias("r")), F.col("root") == F.col("member"), "left").select(F.col("root").alias("first"), F.coalesce("r", "root").alias("part"))
-    heads = texts.select("node", "text").mapInArrow(run, "node long, n int, heads array<long>")
-    heads = heads.join(small(scratch.save(groups)), F.col("node") == F.col("first"))
-    places = heads.select("node", "part", "n", F.posexplode("heads").alias("i", "s"))
-    w = W.partitionBy("s")
-    met = places.select("*", F.min("part").over(w).alias("lo"), F.max("part").over(w).alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    met = scratch.save(met.select("*", (F.col("part") == F.mode("part").over(w)).alias("main")))
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()))).view(np.int64) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "shingles"])
+
+    sets = scratch.save(texts.select("node", "text").mapInArrow(run, "node long, n int, shingles array<long>"))
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = each.join(counts, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    ranked = sets.select("node", "n").join(shared.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"))
+    alone = F.col("n") - F.size("o")
+    keep = F.col("n") - F.ceil(4 * F.col("n") / 5).cast("int") + 1
+    places = ranked.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(0), keep - alone))).alias("j", "x"))
+    places = scratch.save(places.select("node", "n", (F.col("alone") + F.col("j")).alias("i"), "x.s", "x.c"))
+    scratch.drop(sets)
+    return places
+
+
+def chained(places: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: texts of different groups that stand side by side among those of one of ``places``, in an order by hash.
+
+    A shingle of very many texts is cut into stretches of a thousand or so.
+    """
+    placed = places.join(small(parts), F.col("node") == F.col("root"))
+    w = W.partitionBy("s", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / HOT))).orderBy(F.xxhash64("node", "s"), "node")
+    met = placed.select("node", "part", F.lag("node").over(w).alias("other"), F.lag("part").over(w).alias("before")).filter("part <> before")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def prefix_pairs(places: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: candidates for similar pairs of different groups (``parts``: ``root, part``) that share one of ``places``.
+
+    The smaller set shares one of its first n - ceil(8 n / 9) + 1 (prefix filter);
+    sizes differ by a fifth at most (length filter); and from the first shared
+    shingle on both sets have 4 / 9 of the sum of sizes left (positional filter).
+    Shingles of one group are left out, and rows of a shingle's largest group are
+    not put beside each other, so a large group makes no squares.
+    """
+    placed = places.join(small(parts), F.col("node") == F.col("root"))
+    mains = placed.groupBy("s", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("part", "k").alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    met = scratch.save(placed.join(mains.withColumnRenamed("s", "_s"), F.col("s") == F.col("_s")).select("node", "part", "n", "i", "s", (F.col("part") == F.col("most")).alias("main")))
     # the larger set asks; rows of the main group ask the others alone
     asks = met.select("s", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"), F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main"))
     told = met.filter("9 * (n - i) >= 8 * n").select("s", "main", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
@@ -324,10 +346,8 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     ends = [heads.select(F.col("fp").alias(e), F.col("root").alias(f"r{e}")) for e in "ab"]
     balls = ball_edges(heads.select("fp"), 2).join(ends[0], "a").join(ends[1], "b").select("ra", "rb")
     # samples: two neighbouring ones make a variant, so a passage that many texts share seldom puts them together
-    few = first.select("root", "same", F.posexplode("sketch").alias("kind", "s"), "sketch").select(
-        "root", "same", "kind", F.xxhash64("s", F.get("sketch", (F.col("kind") + 1) % SAMPLES)).alias("variant"), F.get("sketch", (F.col("kind") + 2) % SAMPLES).alias("near"))
-    met = neighbours(few, scratch)
-    pairs = fps.filter("before IS NOT NULL").select("root", F.col("before").alias("other")).unionAll(balls).unionAll(met).filter("other <> root")
+    beside = neighbours(variants(first.select("root", "same", "sketch")).filter(F.col("kind") % LINKING == 0), scratch)
+    pairs = fps.filter("before IS NOT NULL").select("root", F.col("before").alias("other")).unionAll(balls).unionAll(beside).filter("other <> root")
     pairs = pairs.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct()
 
     def may(some: DataFrame, least: int) -> DataFrame:
@@ -342,23 +362,37 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
         some = some.filter(both("sketch", lambda p, q: (p == q).cast("int")) >= least) if least else some
         return scratch.save(some.filter(9 * differ <= F.col("of_a.n") + F.col("of_b.n")).select("a", "b"))
 
-    # groups of different texts that neighbours give, then what these leave by the exact join, then the equal texts of each
+    def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links), scratch)
+
+    # large groups by few pairs, then all pairs of small variants, then the texts of full ones by the exact join
     roots = components(similar(texts, may(pairs, SHARED), scratch), scratch)
-    rest = similar(texts, may(prefix_pairs(texts, first.select("root"), roots, scratch), 0), scratch)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest).unionAll(equal), scratch)
+    met = divided(variants(grouped(first.select("root", "sketch"), roots)), scratch)
+    roots = with_links(roots, similar(texts, may(within(met), SHARED), scratch))
+    full = divided(grouped(met.filter(F.col("n") > FULL).drop("part", "n"), roots), scratch)
+    full = scratch.save(full.select(F.col("root").alias("full")).distinct())
+    places = prefixes(texts.join(small(full), F.col("node") == F.col("full")), scratch)
+    # a few pairs a text link what is left of large groups, so that the join meets few of their pairs
+    for find in (chained, prefix_pairs):
+        parts = scratch.save(grouped(full.select(F.col("full").alias("root")), roots))
+        roots = with_links(roots, similar(texts, may(find(places, parts, scratch), 0), scratch))
+    return with_links(roots, equal)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, stored: bool = False) -> DataFrame:
     """Pipeline stage: one document of each group of similar texts, that with the smallest id.
 
-    Repeated rows are copies too; null ids come last; texts without words form
-    one group. ``stored``: ``docs`` is a Parquet table as read.
+    Null and empty texts have no words and form one group; very long texts are
+    compared whole, in slices; repeated rows and ties of ids are copies too, of
+    which one stays; null ids come last; an empty table gives none; all columns
+    are kept whatever their names. ``stored``: ``docs`` is a Parquet table as read.
     """
-    scratch = Scratch(spark, "copies")
+    scratch, work = Scratch(spark, "copies"), Scratch(spark, "copies-work")
     rows, kept = with_row_ids(docs, scratch, stored, "doc_id", "text")
-    roots = similar_roots(rows.select(F.col("_node").alias("node"), F.col("_text").alias("text")), scratch)
+    roots = similar_roots(rows.select(F.col("_node").alias("node"), F.col("_text").alias("text")), work)
     groups = roots.select("root", "node").unionAll(roots.select("root", F.col("root").alias("node")).distinct())
     placed = groups.join(rows.select("_node", "_doc_id"), F.col("node") == F.col("_node")).select("root", "node", F.struct(F.col("_doc_id").isNull(), F.col("_doc_id"), F.col("node")).alias("o"))
     stays = placed.groupBy("root").agg(F.min("o").alias("low")).withColumnRenamed("root", "r")
     gone = scratch.save(placed.join(stays, F.col("root") == F.col("r")).filter("node <> low.node").select("node"))
+    work.clear()
     return rows.join(small(gone), F.col("_node") == F.col("node"), "left_anti").select(*kept).toDF(*docs.columns)

@@ -110,9 +110,11 @@ def test_stage_with_clashing_columns_and_no_rows(spark):
     assert simhash.keep_one(spark, docs.limit(0)).count() == 0
 
 
-def test_one_large_group_of_near_copies_is_found_in_stretches(spark, monkeypatch):
+@pytest.mark.parametrize("full", [4, 64])
+def test_one_large_group_of_near_copies_is_found(spark, monkeypatch, full):
     monkeypatch.setattr(simhash, "HOT", 20)
     monkeypatch.setattr(simhash, "STRETCHES", 8)
+    monkeypatch.setattr(simhash, "FULL", full)
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
     rows = []
@@ -168,8 +170,8 @@ def test_near_copies_among_texts_of_one_template_equal_brute_force(spark, share)
     assert sorted(r["doc_id"] for r in simhash.keep_one(spark, frame(spark, rows)).collect()) == want
 
 
-def test_prefix_join_alone_finds_every_similar_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COUNTED", 20_000)  # a part is counted; the order is then another, the pairs are the same
+@pytest.mark.parametrize("full", [2, 64])
+def test_prefix_join_finds_every_similar_pair(spark, full):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
     rows = []
@@ -184,6 +186,40 @@ def test_prefix_join_alone_finds_every_similar_pair(spark, monkeypatch):
     near = {(j, i) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
     texts = frame(spark, rows).selectExpr("doc_id AS node", "text")
     scratch = Scratch(spark, "t")
-    none = spark.createDataFrame([], "node long, root long")
-    pairs = scratch.save(simhash.prefix_pairs(texts, texts.selectExpr("node AS root"), none, scratch))
+    alone = scratch.save(texts.selectExpr("node AS root", "node AS part"))
+    pairs = scratch.save(simhash.prefix_pairs(simhash.prefixes(texts, scratch), alone, scratch))
     assert near and {tuple(r) for r in simhash.similar(texts, pairs, scratch).collect()} == near
+
+
+def own_part(i, j, own, same):
+    """Own words of a text and of its copy, of which ``same`` in a row are equal."""
+    return [f"o{i}x{k}" for k in range(own)], [f"o{i}x{k}" for k in range(same)] + [f"c{i}x{k}" for k in range(own - same)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.8])
+def test_recall_by_jaccard_with_and_without_a_template(spark, share):
+    """Pairs of Jaccard 0.80 to 0.95 among texts of which a share is one template: 98 % of each band at least are found."""
+    size, each = 220, 250
+    own = size - int(share * size)
+    template = [f"t{k}" for k in range(size - own)]
+    rows, band = [], {}
+    for n, jaccard in enumerate((0.805, 0.825, 0.85, 0.9)):
+        for i in range(each):
+            a, b = own_part(n * each + i, 0, own, own - round((1 - jaccard) / (1 + jaccard) * (size - 4)))
+            rows += [(4 * (n * each + i), " ".join(template + a), "s"), (4 * (n * each + i) + 1, " ".join(template + b), "s")]
+            band[n * each + i] = jaccard
+    sets = dict(zip([r[0] for r in rows], sets_of(rows), strict=True))
+    assert all(len(sets[4 * i] & sets[4 * i + 1]) >= 0.8 * len(sets[4 * i] | sets[4 * i + 1]) for i in band)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark, frame(spark, rows).repartition(4)).select("doc_id").collect()}
+    assert kept >= {4 * i for i in band}
+    for jaccard in set(band.values()):
+        assert sum(4 * i + 1 not in kept for i in band if band[i] == jaccard) >= 0.98 * each
+
+
+def test_stored_tables_whose_columns_are_called_like_the_own_ones(spark, tmp_path):
+    names = ["_fs_file", "_fs_row", "_path", "_place", "_no", "_file", "_node", "_c0", "_text", "node", "root"]
+    docs = frame(spark, [(i, f"text number {i} of some" if i % 50 else "same text", "s") for i in range(200)]).repartition(3)
+    docs.selectExpr("*", *[f"'x' AS {n}" for n in names]).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    out = simhash.keep_one(spark, read, stored=True)
+    assert out.columns == read.columns and out.count() == 197
