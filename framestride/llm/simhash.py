@@ -197,16 +197,17 @@ def neighbours(few: DataFrame, scratch: Scratch) -> DataFrame:
     and by the text (many copies of one text share all samples), whose first
     rows then make a row of their own; so no task gets all of a hot one.
     """
-    key = ["kind", "variant"]
-    hot = scratch.save(few.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(F.col("kind").alias("hk"), F.col("variant").alias("hv")))
-    cut = few.join(small(hot), (F.col("kind") == F.col("hk")) & (F.col("variant") == F.col("hv")), "left")
-    cut = cut.withColumn("stretch", F.when(F.col("hk").isNull(), F.lit(-1)).otherwise((F.pmod("near", F.lit(STRETCHES)) * STRETCHES + F.pmod(F.xxhash64("same"), F.lit(STRETCHES))).cast("int"))).drop("hk", "hv")
+    sizes = few.groupBy("kind", "variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = small(scratch.save(sizes.select(F.col("kind").alias("hk"), F.col("variant").alias("hv"), "n")))
+    cut = few.join(sizes, (F.col("kind") == F.col("hk")) & (F.col("variant") == F.col("hv"))).drop("hk", "hv")
+    cut = cut.withColumn("stretch", F.when(F.col("n") <= HOT, F.lit(-1)).otherwise((F.pmod("near", F.lit(STRETCHES)) * STRETCHES + F.pmod(F.xxhash64("same"), F.lit(STRETCHES))).cast("int")))
+    cut = scratch.save(cut)
 
     def beside(rows: DataFrame, *by: str) -> DataFrame:
         return rows.withColumn("other", F.lag("root").over(W.partitionBy(*by).orderBy("near", "same")))
 
-    inner = beside(cut, *key, "stretch")
-    heads = beside(inner.filter("stretch >= 0 AND other IS NULL"), *key)
+    inner = beside(cut, "kind", "variant", "stretch")
+    heads = beside(inner.filter("stretch >= 0 AND other IS NULL"), "kind", "variant")
     return inner.unionAll(heads).filter("other IS NOT NULL").select("root", "other")
 
 
@@ -238,6 +239,8 @@ def within(met: DataFrame) -> DataFrame:
 
 def similar(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (saved ``a, b``) whose whole sets of shingles have a Jaccard of ``SIMILAR`` or more."""
+    if pairs.isEmpty():
+        return pairs
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +366,7 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
         return scratch.save(some.filter(9 * differ <= F.col("of_a.n") + F.col("of_b.n")).select("a", "b"))
 
     def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links), scratch)
+        return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links), scratch)
 
     # large groups by few pairs, then all pairs of small variants, then the texts of full ones by the exact join
     roots = components(similar(texts, may(pairs, SHARED), scratch), scratch)
@@ -371,12 +374,17 @@ def similar_roots(texts: DataFrame, scratch: Scratch) -> DataFrame:
     roots = with_links(roots, similar(texts, may(within(met), SHARED), scratch))
     full = divided(grouped(met.filter(F.col("n") > FULL).drop("part", "n"), roots), scratch)
     full = scratch.save(full.select(F.col("root").alias("full")).distinct())
+    if full.isEmpty():
+        return with_links(roots, equal)
     places = prefixes(texts.join(small(full), F.col("node") == F.col("full")), scratch)
-    # a few pairs a text link what is left of large groups, so that the join meets few of their pairs
-    for find in (chained, prefix_pairs):
+
+    def found(find) -> DataFrame:
         parts = scratch.save(grouped(full.select(F.col("full").alias("root")), roots))
-        roots = with_links(roots, similar(texts, may(find(places, parts, scratch), 0), scratch))
-    return with_links(roots, equal)
+        return similar(texts, may(find(places, parts, scratch), 0), scratch)
+
+    # a few pairs a text link what is left of large groups, so that the join meets few of their pairs
+    roots = with_links(roots, found(chained))
+    return with_links(roots, found(prefix_pairs).unionAll(equal))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, stored: bool = False) -> DataFrame:
