@@ -38,31 +38,50 @@ class HostRules:
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the array, first ones included.
 
-    Each window becomes one long: its 64-bit hash shifted left by the bits its
-    position needs, plus the position. Sorting these longs brings equal windows
-    together with their places, in n log n whatever the repetition.
+    Each window becomes one long: the low bits of its 64-bit hash, then its
+    position. Sorting these longs brings equal windows together with their
+    places, in n log n whatever the repetition. Neighbours of equal hash are
+    compared word by word; where other words stand beside each other, which the
+    shorter hash of a text of a million words makes likely, the text is sorted
+    by 96 bits of hash instead. So the count is exact at any length.
     """
 
     def of(w: Column) -> Column:
         n = F.size(w)
         bits = F.length(F.bin(n))
-        keys = F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")),
-        )
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+
+        def three(i: Column) -> list[Column]:
+            return [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
+
+        def equal(i: Column, j: Column) -> Column:
+            return F.get(w, i).eqNullSafe(F.get(w, j)) & F.get(w, i + 1).eqNullSafe(F.get(w, j + 1)) & F.get(w, i + 2).eqNullSafe(F.get(w, j + 2))
+
+        def total(places: Column) -> Column:
+            return let(F.sort_array(places), lambda p: F.aggregate(
+                F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))).cast("long")),
+                F.lit(0).cast("long"), lambda a, x: a + x))
+
+        def short(s: Column) -> Column:
+            def at(x: Column) -> Column:
+                return x.bitwiseAND(mask).cast("int")
 
-        def covered(s: Column) -> Column:
             def same(a: Column, b: Column) -> Column:
                 return F.coalesce(F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bits) == 0, F.lit(False))
 
+            clash = F.exists(F.transform(s, lambda x, k: same(x, F.get(s, k + 1)) & ~equal(at(x), at(F.get(s, k + 1)))), lambda x: x)
             flagged = F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1)))
-            mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            places = F.sort_array(F.transform(flagged, lambda x: x.bitwiseAND(mask)))
-            return let(places, lambda p: F.aggregate(
-                F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, k + 1) - x, F.lit(3).cast("long")))),
-                F.lit(0).cast("long"), lambda a, x: a + x))
+            return F.when(clash, let(F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.hash(*three(i)).alias("g"), i.alias("i")))), full)).otherwise(total(F.transform(flagged, at)))
 
-        return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(keys), covered))
+        def full(s: Column) -> Column:
+            def same(x: Column, y: Column) -> Column:
+                return F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]) & equal(x["i"], y["i"]), F.lit(False))
+
+            return total(F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1))), lambda x: x["i"]))
+
+        places = F.sequence(F.lit(0), n - 3)
+        keys = F.transform(places, lambda i: F.call_function("shiftleft", F.xxhash64(*three(i)), bits).bitwiseOR(i.cast("long")))
+        return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(keys), short))
 
     return let(words, of)
 
@@ -132,7 +151,12 @@ def judge(docs: DataFrame, scratch: Scratch, rules: HostRules = HostRules(), tex
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns for every document, plus ``host_rate`` rounded to 6 places."""
+    """The contract's columns for every document, plus ``host_rate`` rounded to 6 places.
+
+    Null and empty texts have no words and fail; very long ones are counted
+    whole and exactly; a null source is a host of its own; repeated rows and
+    equal ids count each time; an empty table gives none; further columns don't matter.
+    """
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     out, _ = judge(docs, Scratch(spark, "op9"), keep_text=False)
     return out.select(
@@ -142,7 +166,10 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their own columns."""
+    """Pipeline stage: the documents that the rules keep, with their own columns whatever their names.
+
+    Nulls, empty and very long texts, ties and repeated rows as in ``op9_host_rules``.
+    """
     out, kept = judge(docs, Scratch(spark, "rules"))
     return out.filter("_kept").select(*kept).toDF(*docs.columns)
 

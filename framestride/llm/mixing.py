@@ -1,6 +1,7 @@
 """Operator 3, mixing sources to target weights: hash-threshold histograms.
 
-A document's place in its source's order is a 48-bit hash of its id. Word counts
+A document's place in its source's order is a 48-bit hash of its id and text, so
+rows of one id (or none) stand apart unless they are equal. Word counts
 are summed by source and the hash's leading 12 bits; the running sum over those
 at most 4096 sums finds the bucket in which the source's budget ends; only that
 bucket is summed again by the next 12 bits, and so on for four levels. What lies
@@ -26,9 +27,10 @@ MAX_REPEAT = 3
 MAX_SOURCES = 1_000_000
 
 
-def mix_hash(doc_id: Column) -> Column:
-    """The 48 leading bits of the id's MD5 (a null id counts as empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def mix_hash(doc_id: Column, text: Column) -> Column:
+    """The 48 leading bits of the MD5 of the id, a space and the text (null: empty)."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def words_in(text: Column) -> Column:
@@ -119,36 +121,43 @@ def with_copies(df: DataFrame, plan: DataFrame, source: str, hashed: str) -> Dat
     ``plan`` has at most ``MAX_SOURCES`` rows (checked when it was made).
     """
     return df.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("_s")), "left").withColumn(
-        "_copies", F.col("_whole") + (F.col(hashed) < F.col("_below")).cast("int"))
+        "_copies", F.least(F.lit(MAX_REPEAT), F.col("_whole") + (F.col(hashed) < F.col("_below")).cast("int")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words the mix takes of it.
 
-    Null text has size 0; a null source is a source of its own, last in order;
-    repeated ids share a hash and are taken together; an empty table gives none.
+    Null and empty texts have size 0; very long ones are counted whole; a null
+    source is a source of its own, last in order; null and repeated ids stand
+    apart by their texts; rows equal in id and text tie and are taken together;
+    an empty table gives none; further columns don't matter. Taken words fall
+    short of the target by less than the first document (or tie) that doesn't fit.
     """
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     scratch = Scratch(spark, "op3")
-    slim = scratch.save(docs.select("doc_id", F.col("source").alias("_source"), words_in(F.col("text")).alias("_size"), mix_hash(F.col("doc_id")).alias("_hash")))
+    slim = scratch.save(docs.select("doc_id", F.col("source").alias("_source"), words_in(F.col("text")).alias("_size"), mix_hash(F.col("doc_id"), F.col("text")).alias("_hash")))
     out = with_copies(slim, mix_plan(slim, scratch), "_source", "_hash")
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.round("_target", 4).alias("target"),
                       (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it (0 to 3 times)."""
+    """Pipeline stage: each document as often as the mix takes it (0 to 3 times).
+
+    Nulls, ties and repeated rows as in ``op3_mixing``; an empty table gives none;
+    all columns are kept whatever their names.
+    """
     rows, kept = guarded(docs, "doc_id", "source", "text")
     scratch = Scratch(spark, "mix")
-    slim = scratch.save(rows.select("_source", words_in(F.col("_text")).alias("_size"), mix_hash(F.col("_doc_id")).alias("_hash")))
-    out = with_copies(rows.withColumn("_hash", mix_hash(F.col("_doc_id"))), mix_plan(slim, scratch), "_source", "_hash")
+    slim = scratch.save(rows.select("_source", words_in(F.col("_text")).alias("_size"), mix_hash(F.col("_doc_id"), F.col("_text")).alias("_hash")))
+    out = with_copies(rows.withColumn("_hash", mix_hash(F.col("_doc_id"), F.col("_text"))), mix_plan(slim, scratch), "_source", "_hash")
     return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*kept).toDF(*docs.columns)
 
 
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 12))::BIGINT AS h FROM documents
 ), s AS (
   SELECT source, n, CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w
   FROM (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source)

@@ -71,7 +71,7 @@ def mixed(rows):
     want = mixing.targets(list(size.items()))
     out = []
     for s in size:
-        own = sorted((int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:12], 16), i, t) for i, t, x in rows if x == s)
+        own = sorted((int(hashlib.md5((("" if i is None else str(i)) + " " + (t or "")).encode()).hexdigest()[:12], 16), i, t) for i, t, x in rows if x == s)
         whole = int(want[s] // size[s]) if size[s] else 0
         left, run = want[s] - whole * size[s], 0
         for _, i, t in own:

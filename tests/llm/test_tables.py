@@ -34,6 +34,12 @@ def test_counts_equal_brute_force(spark, tmp_path):
     assert not any(r["kept"] for r in got if r["base_failed"])
 
 
+def test_repeats_are_exact_in_a_very_long_text(spark, tmp_path):
+    rows = [(1, " ".join(map(str, range(3_000_000))), "a"), (2, "a b c " + " ".join(map(str, range(200_000))) + " a b c", "a")]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in host_rules.op9_host_rules(spark, write_documents(spark, tmp_path / "t", rows)).collect()}
+    assert got == {1: 0, 2: 6}
+
+
 def test_bad_host_loses_its_documents(spark, tmp_path):
     good = " ".join(f"w{i}" for i in range(80))
     rows = [(i, good if i % 10 else "short", f"h{i % 7}") for i in range(700)] + [(1000 + i, "short" if i < 90 else good, "bad") for i in range(100)] + [(2000, good, None)]
@@ -53,7 +59,7 @@ def test_mix_equals_a_sorted_walk(spark, tmp_path):
     got = mixing.op3_mixing(spark, write_documents(spark, tmp_path / "t", rows)).collect()
     by = {}
     for i, t, s in rows:
-        h = int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:12], 16)
+        h = int(hashlib.md5((("" if i is None else str(i)) + " " + (t or "")).encode()).hexdigest()[:12], 16)
         by.setdefault(s, []).append((h, i, len(WORD.findall(t or ""))))
     size = {s: sum(n for *_, n in x) for s, x in by.items()}
     want = mixing.targets(list(size.items()))
@@ -70,6 +76,12 @@ def test_mix_equals_a_sorted_walk(spark, tmp_path):
     assert Counter((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got) == expect
 
 
+def test_null_and_repeated_ids_come_near_the_target(spark, tmp_path):
+    rows = [(None, f"w{i} " * 20, "a") for i in range(100)] + [(7, f"v{i} " * 20, "b") for i in range(200)] + [(i, "x " * 5, "c") for i in range(400)]
+    got = mixing.op3_mixing(spark, write_documents(spark, tmp_path / "t", rows)).groupBy("source_size", "target").sum("taken").collect()
+    assert all(abs(r["sum(taken)"] - r["target"]) <= 0.02 * r["target"] for r in got)
+
+
 def test_targets_reshare_what_a_cap_leaves():
     t = mixing.targets([("a", 10), ("b", 1000), (None, 1000)])
     assert t["a"] == 30 and abs(t["b"] + t[None] - 1980) < 1e-9 and abs(t["b"] / t[None] - 2) < 1e-9
