@@ -74,14 +74,19 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def page_records(page_id: int | None, key: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> Iterator[bytes]:
-    """All records of one page."""
-    ident = f"<urn:page:{'' if page_id is None else page_id}#{key}>"
+    """All records of one page.
+
+    A response is named by its page and digest, so a revisit, which another task
+    writes, can name the record that it refers to. Responses of rows that are
+    equal in both carry one name and the same content.
+    """
+    ident = f"<urn:page:{'' if page_id is None else page_id}#{key if revisit else digest}>"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", f"urn:page:{'' if page_id is None else page_id}")]
     http = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if revisit:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", ident), *common, *http,
-                      ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], block)
+                      ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}#{digest}>")], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT_BYTES:
