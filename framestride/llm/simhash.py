@@ -141,6 +141,8 @@ FULL = 64
 SHINGLE, SIMILAR = 5, 0.8
 #: Bits of the bitmap that rules out pairs before their sets are compared.
 BITS = 1024
+#: Cells in which shingles are counted for the order of that join; a shingle's rank gets vague where many share a cell.
+CELLS = 1 << 22
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
 #: Words whose hashes a worker remembers.
 MEMORY = 150_000
@@ -258,31 +260,58 @@ def similar(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all ``texts`` (``node, text``) fall into each of ``CELLS`` cells by their hash.
+
+    A cell's count is that of its most frequent shingle or more. Only these
+    counts, whose number is fixed, reach the driver.
+    """
+    size = CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                cells, n = np.unique(np.unique(shingle_hashes(words_of(t.as_py()))) % np.uint64(size), return_counts=True)
+                total[cells.astype(np.int64)] += n
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32), pa.int32()), pa.array(total[used], pa.int64())], ["cell", "n"])
+
+    found = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, dtype=np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, shingles and counts of the prefix of a set, but for shingles that no other set can have."""
+    n = len(shingles)
+    count = counts[(shingles % np.uint64(len(counts))).astype(np.int64)]
+    order = np.lexsort((shingles, count))[: n + (-4 * n // 5) + 1 if n else 0]
+    at = np.flatnonzero(count[order] > 1)
+    return at, shingles[order[at]].view(np.int64), count[order[at]]
+
+
 def prefixes(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, n, i, s, c``: the shingles of the prefixes of ``texts`` (``node, text``) that two texts or more have.
+    """``node, n, i, s, c``: the shingles of the prefixes of ``texts`` (``node, text``) that two texts or more may have.
 
-    Shingles have one order, rarest first by their count ``c`` over all these texts, then
-    by hash; ``i`` is the place in it, ``n`` the size of the whole set. Of two similar
-    sets the first shingle they share is among the first n - ceil(0.8 n) + 1 of
-    the larger. Shingles of one text are counted as places but not sent on.
+    Shingles have one order, rarest first by the count ``c`` of their cell over all
+    these texts, then by hash; ``i`` is the place in it, ``n`` the size of the whole
+    set. Of two similar sets the first shingle they share is among the first
+    n - ceil(0.8 n) + 1 of the larger; any one order keeps the result exact.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()))).view(np.int64) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "shingles"])
-
-    sets = scratch.save(texts.select("node", "text").mapInArrow(run, "node long, n int, shingles array<long>"))
-    each = sets.select("node", F.explode("shingles").alias("s"))
-    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = each.join(counts, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
-    ranked = sets.select("node", "n").join(shared.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"))
-    alone = F.col("n") - F.size("o")
-    keep = F.col("n") - F.ceil(4 * F.col("n") / 5).cast("int") + 1
-    places = ranked.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(0), keep - alone))).alias("j", "x"))
-    places = scratch.save(places.select("node", "n", (F.col("alone") + F.col("j")).alias("i"), "x.s", "x.c"))
-    scratch.drop(sets)
-    return places
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                found = np.unique(shingle_hashes(words_of(t.as_py())))
+                at, heads, count = prefix(found, shared.value)
+                columns = [np.full(len(at), node), np.full(len(at), len(found)), at, heads, count]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "n", "i", "s", "c"])
+
+    return scratch.save(texts.select("node", "text").mapInArrow(run, "node long, n int, i int, s long, c long"))
 
 
 def chained(places: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
