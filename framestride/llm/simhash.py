@@ -114,8 +114,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id of its component.
 
-    Null and empty texts have fingerprint zero and link like any other;
-    repeated rows share their component; a null id never is the smallest.
+    Null and empty texts have fingerprint zero and link like any other; very long
+    ones are read whole; equal ids and repeated rows share their component; a null
+    id never is the smallest; an empty table gives none; further columns don't matter.
     """
     scratch = Scratch(spark, "op10")
     rows = scratch.save(fingerprints(pick(table(spark, sf_dir, "documents"), "doc_id", "text")))
@@ -143,6 +144,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BITS = 1024
 #: Cells in which shingles are counted for the order of that join; a shingle's rank gets vague where many share a cell.
 CELLS = 1 << 22
+#: Cells that a task sends on in one row.
+ROW = 1 << 14
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(SAMPLES)]
 #: Words whose hashes a worker remembers.
 MEMORY = 150_000
@@ -268,16 +271,31 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
     """
     size = CELLS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
             for t in b.column(0).cast(pa.binary()):
                 cells, n = np.unique(np.unique(shingle_hashes(words_of(t.as_py()))) % np.uint64(size), return_counts=True)
                 total[cells.astype(np.int64)] += n
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32), pa.int32()), pa.array(total[used], pa.int64())], ["cell", "n"])
-
-    found = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cuts = np.flatnonzero(np.diff(used // ROW)) + 1
+        parts = [x for x in np.split(used, cuts) if len(x)]
+        kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        rows = [[int(x[0]) // ROW for x in parts], [x.astype(np.int32) for x in parts], [total[x] for x in parts]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["part", "cells", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, part in enumerate(b.column(0).to_pylist()):
+                own = sums.setdefault(part, np.zeros(ROW, dtype=np.int64))
+                own[b.column(1)[i].values.to_numpy() - part * ROW] += b.column(2)[i].values.to_numpy()
+        for part, own in sums.items():
+            used = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(used + part * ROW, pa.int32()), pa.array(own[used], pa.int64())], ["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "part int, cells array<int>, n array<long>")
+    found = counted.repartition("part").mapInArrow(add, "cell int, n long").toArrow()
     out = np.zeros(size, dtype=np.int64)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
