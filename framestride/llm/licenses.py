@@ -112,8 +112,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document.
 
     The method adds the labels of matching templates; the score is 1 with a base
-    place, else the best containment, else 0. Null text has no words; repeated
-    rows are scanned each; an empty table gives none.
+    place, else the best containment, else 0. Null and empty texts have no words;
+    very long ones are scanned whole; equal ids and repeated rows are scanned each;
+    an empty table gives none; further columns don't matter.
     """
     templates = template_sets()
     vocabulary = sorted({w for *_, ws, _ in templates for w in ws})

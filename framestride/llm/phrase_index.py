@@ -9,7 +9,7 @@ takes the rarest of its words, moves that list by the word's offset in the
 phrase, and keeps the starts at which every other word, in rising frequency,
 has a posting at its own offset. All queries of a shard run side by side as
 array operations. Texts are indexed whole; a shard closes after the document
-with which it reaches ``SHARD_WORDS``.
+with which it reaches ``SHARD_BYTES``.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from framestride.llm.common import Scratch, pick, small, table, with_row_ids
 
 WINDOW = 10
-SHARD_WORDS = 1 << 18
-#: Characters of text read before a shard is built, whatever its words.
-SHARD_BYTES = 1 << 22
+#: Bytes of text from which a shard is built.
+SHARD_BYTES = 6 << 18
 #: The items are held by every task; more are searched in slices of so many.
 SLICE_ITEMS = 5_000
 #: Starts examined at once for all phrases of a shard.
@@ -103,8 +102,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 rows.append(row)
                 texts.append(t.as_py() or b"")
                 held += len(texts[-1]) + 1
-                # words are at least a byte and mostly about six
-                if held >= min(SHARD_BYTES, 6 * SHARD_WORDS):
+                if held >= SHARD_BYTES:
                     yield shard()
                     rows, texts, held = [], [], 0
         if rows:
@@ -301,7 +299,8 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and no hits; an item of under ten words
     is one window, one without words none; repeated items count once; repeated
-    documents are separate rows.
+    documents are separate rows; a very long text is a shard of its own; empty
+    tables give no rows or no hits; further columns don't matter.
     """
     items = benchmark_items(spark, sf_dir)
     scratch = Scratch(spark, "op5")
@@ -316,7 +315,11 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, stored: bool = False) -> DataFrame:
-    """Pipeline stage: documents without any window of the benchmark. ``stored``: ``docs`` is a Parquet table as read."""
+    """Pipeline stage: documents without any window of the benchmark, with all their columns whatever their names.
+
+    Nulls, empty and very long texts, ties and repeated rows as in
+    ``op5_phrase_index``. ``stored``: ``docs`` is a Parquet table as read.
+    """
     scratch = Scratch(spark, "clean")
     rows, kept = with_row_ids(docs, scratch, stored, "text")
     index = scratch.save(build_index(rows.select(F.col("_node").alias("row"), F.col("_text").alias("text"))), "index")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framestride.llm.common import Scratch, pick, table
 
-#: Rows of each kind used for fitting, at most.
+#: Ids of each kind used for fitting, at most; where ids repeat, at most twice as many rows are used.
 POSITIVES, UNLABELLED = 20_000, 40_000
 #: Documents with a score of at least this are predicted to be good.
 CUT = 0.3
@@ -218,7 +218,13 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score for every document, null and empty texts too; repeated rows score alike."""
+    """A score for every document.
+
+    Null and empty texts score alike, very long ones are read whole; repeated
+    rows and texts score alike; a repeated or null label counts as 1 only if all
+    rows of its id say 1; without labels every score is 0.5; an empty table gives
+    none; further columns don't matter.
+    """
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = train(docs, pick(table(spark, sf_dir, "labels"), "doc_id", "quality"), Scratch(spark, "op2"))
     return with_scores(docs, model)

@@ -6,8 +6,8 @@ make one shared frequency table (its size is the vocabulary's). Every part then
 encodes its ids in independent blocks of whole documents. A block interleaves
 up to 1024 coder states over one stream of 32-bit words, so that coding is array
 work, and keeps checkpoints (all states and the place in the stream) from which
-decoding can start inside the block, each stretch by another task; it also keeps
-checksums of its words and its ids.
+decoding can start inside the block (``Block.stretches``), so that a stretch can be
+read without the rest; it also keeps checksums of its words and its ids.
 
 Files get a new name for each attempt and are listed in what the task returns,
 so a task that runs twice leaves one listed file.
@@ -393,8 +393,10 @@ def encode_table(docs: DataFrame, scratch: Scratch, path: str, parts: int | None
 def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, read the files back and tell each document's place, length and checksum.
 
-    Null and empty texts have the end id alone; null ids come first; repeated rows
-    each have a place; an empty table gives none.
+    Null and empty texts have the end id alone; a very long text is a block of
+    its own; null ids come first; ties of ids follow each other by a hash of their
+    texts; repeated rows each have a place; an empty table gives none; further
+    columns don't matter.
     """
     import public_tokenizers
 

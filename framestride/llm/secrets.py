@@ -148,8 +148,9 @@ def scan(df: DataFrame, text: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document.
 
-    Null text counts as empty and has no spans; repeated rows are scanned each;
-    spans of several kinds may overlap and all stay.
+    Null text counts as empty and has no spans; very long texts are scanned whole;
+    equal ids and repeated rows are scanned each; spans of several kinds may
+    overlap or tie and all stay; an empty table gives none; further columns don't matter.
     """
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     spans = scan(docs, "text").select(

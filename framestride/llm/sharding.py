@@ -65,7 +65,9 @@ def place(rows: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> Da
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot, shard number and shard name.
 
-    Null ids share a shard, repeated ids too; an empty table gives no rows.
+    Null ids share a shard, ties and repeated rows too; texts are not read, so
+    null, empty and very long ones make no difference; an empty table gives no
+    rows; further columns don't matter.
     """
     docs = pick(table(spark, sf_dir, "documents"), "doc_id")
     return place(docs, "doc_id", shard_names()).select(

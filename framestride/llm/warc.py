@@ -265,7 +265,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null html is an empty payload, and empty payloads are equal ones; rows that
     share the largest page_id are all responses; a null page_id revisits any
-    other and is a response where there is none.
+    other and is a response where there is none; very long html is written in
+    segments; an empty table gives none; further columns don't matter.
     """
     pages = pick(table(spark, sf_dir, "pages"), "page_id", "html")
     scratch = Scratch(spark, "op7")
