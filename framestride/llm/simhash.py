@@ -292,12 +292,13 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
                 own[b.column(1)[i].values.to_numpy() - part * ROW] += b.column(2)[i].values.to_numpy()
         for part, own in sums.items():
             used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(used + part * ROW, pa.int32()), pa.array(own[used], pa.int64())], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([used + part * ROW], pa.list_(pa.int32())), pa.array([own[used]], pa.list_(pa.int64()))], ["cells", "n"])
 
     counted = texts.select("text").mapInArrow(count, "part int, cells array<int>, n array<long>")
-    found = counted.repartition("part").mapInArrow(add, "cell int, n long").toArrow()
+    found = counted.repartition("part").mapInArrow(add, "cells array<int>, n array<long>").toArrow()
     out = np.zeros(size, dtype=np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    for cells, n in zip(found.column("cells"), found.column("n"), strict=True):
+        out[cells.values.to_numpy()] = n.values.to_numpy()
     return out
 
 
