@@ -76,17 +76,16 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def page_records(page_id: int | None, key: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> Iterator[bytes]:
     """All records of one page.
 
-    A response is named by its page and digest, so a revisit, which another task
-    writes, can name the record that it refers to. Responses of rows that are
-    equal in both carry one name and the same content.
+    Every record has an identifier of its own. A revisit, whose response another
+    task writes, names it by its target and date, as WARC 1.1 allows.
     """
-    ident = f"<urn:page:{'' if page_id is None else page_id}#{key if revisit else digest}>"
+    ident = f"<urn:page:{'' if page_id is None else page_id}#{key}>"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", f"urn:page:{'' if page_id is None else page_id}")]
     http = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if revisit:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", ident), *common, *http,
-                      ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}#{digest}>")], block)
+                      ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", f"urn:page:{refers_to}"), ("WARC-Refers-To-Date", DATE)], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT_BYTES:
@@ -202,7 +201,7 @@ def read_records(files: DataFrame) -> DataFrame:
                 for h, block in parse_members(data):
                     segment = h["warc-type"] == "continuation" or "warc-segment-number" in h
                     rows.append((
-                        h.get("warc-target-uri"), h["warc-type"], h.get("warc-refers-to"), h.get("warc-payload-digest"), None, (h.get("warc-segment-origin-id") or h["warc-record-id"]) if segment else None,
+                        h.get("warc-target-uri"), h["warc-type"], h.get("warc-refers-to-target-uri"), h.get("warc-payload-digest"), None, (h.get("warc-segment-origin-id") or h["warc-record-id"]) if segment else None,
                         int(h["warc-segment-number"]) if segment else None, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block, None))
                     held += len(block)
                     if held > 1 << 23:

@@ -79,3 +79,15 @@ def test_files_keep_one_record_a_page(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"<p>{i}", None) for i in range(50)], "page_id long, payload string, refers long")
     files = warc.write_archives(rows.repartition(3), Scratch(spark, "t").path("w"))
     assert sum(r["records"] for r in files.collect()) == 50
+
+
+def test_every_reference_names_a_response_and_large_repeated_rows_stay_apart(spark, tmp_path):
+    big = "<p>text" * 9_000
+    rows = [(1, big, "u"), (3, big, "u"), (3, big, "u"), (4, "a", "u"), (2, "a", "u"), (5, "b", "u")]
+    where = pages(spark, tmp_path / "t", rows)
+    assert sorted((tuple(r) for r in warc.op7_warc(spark, where).collect()), key=str) == sorted(brute(rows), key=str)
+    docs = spark.read.parquet(f"{where}/pages.parquet").select("page_id", "html")
+    scratch = Scratch(spark, "t")
+    files = scratch.save(warc.write_archives(warc.with_revisits(docs), scratch.path("w")))
+    found = warc.read_records(files).select("uri", "kind", "refers").collect()
+    assert {r["refers"] for r in found if r["kind"] == "revisit"} == {"urn:page:3", "urn:page:4"} <= {r["uri"] for r in found if r["kind"] == "response"}
