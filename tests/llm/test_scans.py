@@ -26,11 +26,11 @@ def brute_license(text):
                 places.append(i)
                 base.add(label)
     labels, best = set(base), 0.0
-    for line in low.split("\n"):
-        block = set(WORD.findall(line))
-        for label, t in licenses.TEMPLATES:
-            words = set(WORD.findall(t.lower()))
-            both = len(block & words)
+    for label, t in licenses.TEMPLATES:
+        found = WORD.findall(t.lower())
+        words, span = set(found), len(found) * 10 // 9
+        for i in range(len(w)):
+            both = len(set(w[i : i + span]) & words)
             if both >= math.ceil(licenses.CONTAINED * len(words)):
                 labels.add(label)
                 best = max(best, both / len(words))
@@ -42,13 +42,16 @@ LICENSED = [
     (63, "Licensed, under CC: (BY) NC 4.0 or so\nall RIGHTS are reserved", "s"), (64, "license mit", "s"), (65, "KMIT LICENSE İmit license ſ", "s"),
     (66, licenses.TEMPLATES[1][1].replace("granted", "gr").upper(), "s"), (67, licenses.TEMPLATES[6][1].replace("binary", "b").replace("forms", "f").replace("met", "m"), "s"), (68, "mit license", "s"), (69, "  general public license  ", "s"),
     (70, "cc by nc 4 0 licensed\nunder", "s"),
+    # wrapped notices, and words of a template far apart on one long line
+    (71, "# " + licenses.TEMPLATES[1][1].replace(", ", ",\n# "), "s"), (72, "x " * 400 + licenses.TEMPLATES[6][1].replace(" ", " *\n"), "s"), (73, "all " + "x " * 50 + "rights " + "y " * 50 + "reserved", "s"),
+    (74, "the license " * 126 + "the all rights\nreserved " + "under the license " * 300, "s"), (75, "the " * 255 + licenses.TEMPLATES[5][1], "s"),
 ]
 
 
 def test_licenses_equal_brute_force(spark, tmp_path):
     rng = random.Random(4)
     vocab = "mit license apache general public released under the all rights reserved licensed cc by nc 4 0 version 2 x y".split()
-    rows = ODD + LICENSED + [(100 + i, "".join(rng.choice(vocab) + rng.choice(" \n -.") for _ in range(rng.randint(0, 60))), "s") for i in range(150)]
+    rows = ODD + LICENSED + [(100 + i, "".join(rng.choice(vocab) + rng.choice(" \n -.") for _ in range(rng.randint(0, 60 if i else 3000))), "s") for i in range(150)]
     got = licenses.op6_licenses(spark, write_documents(spark, tmp_path / "t", rows)).collect()
     assert Counter(map(tuple, got)) == Counter((i, *brute_license(t)) for i, t, _ in rows)
 
