@@ -2,9 +2,10 @@
 
 All work stays inside the row in built-in functions. Pieces between matches and
 matches alternate, so their lengths give every match's place. Candidates of the
-entropy method are long runs of key characters. A window slides over each: the
-sum of c log2 c over the window's character counts changes by the entering and
-the leaving character's count alone, and gives the Shannon entropy of the window.
+entropy method are long runs of key characters. A window slides over each, with a
+count for each character that is kept from step to step: the sum of c log2 c changes
+by the entering and the leaving character's count alone, and gives the Shannon
+entropy of the window.
 Each character class has its own threshold; runs on the allow-list (identifiers
 with dashes, placeholders, runs of digits or letters alone) are left out.
 """
@@ -12,6 +13,7 @@ with dashes, placeholders, runs of digits or letters alone) are left out.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ HEX = r"[0-9a-f]{32,}"
 #: Characters in a window, and the least length of a candidate.
 WINDOW = 24
 RUN = "A-Za-z0-9+/=_-"
+ALPHABET = string.ascii_letters + string.digits + "+/=_-"
 CANDIDATE = rf"(?<![{RUN}])[{RUN}]{{{WINDOW},}}+"
 #: Pattern of the whole candidate and the entropy in bits that a window must reach, first match counts.
 CLASSES = [("[0-9a-f]+|[0-9A-F]+", 3.05), ("[A-Za-z0-9+/=_-]+", 3.85)]
@@ -89,32 +92,27 @@ def hot_windows(piece: Column, least: Column) -> Column:
     """First and last end (from 1) of windows of ``piece`` whose entropy reaches ``least``; -1 without one."""
     clogc = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)])
 
-    def count(window: Column, char: Column) -> Column:
-        return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+    def code(i: Column) -> Column:
+        return F.call_function("instr", F.lit(ALPHABET), F.substring(piece, i, F.lit(1))) - 1
 
     def step(a: Column, i: Column) -> Column:
-        # the window holds the characters before i, at most WINDOW - 1 after the oldest has left
-        before = F.substring(piece, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))
-
-        def leave(w: Column) -> Column:
-            full = F.length(w) == WINDOW
-            c = count(w, F.substring(w, F.lit(1), F.lit(1)))
-            return F.struct(
-                F.when(full, a["s"] - F.get(clogc, c) + F.get(clogc, c - 1)).otherwise(a["s"]).alias("s"),
-                F.when(full, F.substring(w, F.lit(2), F.lit(WINDOW))).otherwise(w).alias("w"))
-
-        def enter(l: Column) -> Column:
-            c = count(l["w"], F.substring(piece, i, F.lit(1)))
-            s = l["s"] + F.get(clogc, c + 1) - F.get(clogc, c)
-            return let(s, lambda x: hit(x))
-
-        def hit(x: Column) -> Column:
-            hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - x / WINDOW >= least)
-            return F.struct(x.alias("s"), F.when(hot & (a["first"] < 0), i).otherwise(a["first"]).alias("first"), F.when(hot, i).otherwise(a["last"]).alias("last"))
-
-        return let(let(before, leave), enter)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(piece)), F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last")), step)
+        # the character that leaves the window, if it is full, and the one that enters
+        return let(F.struct(F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1)).alias("out"), code(i).alias("in")), lambda x: moved(a, i, x))
+
+    def moved(a: Column, i: Column, x: Column) -> Column:
+        gone = F.get(a["n"], x["out"])
+        less = F.when(x["out"] >= 0, a["s"] - F.get(clogc, gone) + F.get(clogc, gone - 1)).otherwise(a["s"])
+        before = F.get(a["n"], x["in"]) - (x["in"] == x["out"]).cast("int")
+        counts = F.transform(a["n"], lambda c, k: c + (k == x["in"]).cast("int") - (k == x["out"]).cast("int"))
+        return let(less + F.get(clogc, before + 1) - F.get(clogc, before), lambda s: hit(a, i, s, counts))
+
+    def hit(a: Column, i: Column, s: Column, counts: Column) -> Column:
+        hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - s / WINDOW >= least)
+        return F.struct(s.alias("s"), counts.alias("n"), F.when(hot & (a["first"] < 0), i).otherwise(a["first"]).alias("first"), F.when(hot, i).otherwise(a["last"]).alias("last"))
+
+    empty = F.array_repeat(F.lit(0), len(ALPHABET))
+    start = F.struct(F.lit(0.0).alias("s"), empty.alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def entropy_spans(span: Column, run: Column) -> Column:
