@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ REVISIT_BYTES = 0
 #: The longest block in one record.
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
+#: A file that has reached so many bytes is closed and another one begun; a record is never split over files.
+FILE_BYTES = 1 << 30
+#: Bytes read from a file at once.
+READ_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -101,17 +107,17 @@ def page_records(page_id: int | None, key: str, payload: bytes, digest: str, ref
             yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{ident[:-1]}.{n}>"), *common, ("WARC-Segment-Origin-ID", ident), ("WARC-Segment-Number", str(n)), *last], part)
 
 
-def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record of a file of gzip members."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+def parse_members(stream: io.IOBase | pa.NativeFile) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of every record of a file of gzip members, read bit by bit."""
+    data = b""
+    while data := data or stream.read(READ_BYTES):
         z, parts = zlib.decompressobj(31), []
         while not z.eof:
-            if at >= len(view):
+            data = data or stream.read(READ_BYTES)
+            if not data:
                 raise Damaged("a gzip member without its end")
-            parts.append(z.decompress(view[at : at + 8192]))
-            at += min(8192, len(view) - at)
-        at -= len(z.unused_data)
+            parts.append(z.decompress(data))
+            data = z.unused_data
         got = b"".join(parts)
         head, found, rest = got.partition(CRLF + CRLF)
         lines = head.split(CRLF)
@@ -159,15 +165,16 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return rows.join(largest, F.col("digest") == F.col("d")).drop("d")
 
 
-def write_archives(rows: DataFrame, where: str, least: int = REVISIT_BYTES) -> DataFrame:
-    """Write each partition of ``page_id, payload, refers`` as a file; rows: ``file, records``."""
+def write_archives(rows: DataFrame, where: str, least: int = REVISIT_BYTES, upto: int = FILE_BYTES) -> DataFrame:
+    """Write ``page_id, payload, refers`` to files of some ``upto`` bytes, one at least for each partition; rows: ``file, records``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag, n, out, name = uuid.uuid4().hex[:12], 0, None, ""
+        tag, n, out = uuid.uuid4().hex[:12], 0, None
+        written: list[tuple[str, int]] = []
         for b in batches:
             for page_id, payload, refers in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if out is None:
-                    name = f"{where}/pages-{tag}.warc.gz"
+                    name, first = f"{where}/pages-{tag}-{len(written)}.warc.gz", n
                     fs, inner = storage(name)
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(inner, compression=None, buffer_size=1 << 20)
@@ -176,9 +183,14 @@ def write_archives(rows: DataFrame, where: str, least: int = REVISIT_BYTES) -> D
                 for x in page_records(page_id, f"{tag}-{n}", data, digest_of(data), refers, revisit):
                     out.write(x)
                 n += 1
+                if out.tell() >= upto:
+                    out.close()
+                    out = None
+                    written.append((name, n - first))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
+            written.append((name, n - first))
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in written], pa.string()), pa.array([k for _, k in written], pa.int64())], ["file", "records"])
 
     return rows.select("page_id", "payload", "refers").mapInArrow(run, "file string, records long")
 
@@ -186,6 +198,11 @@ def write_archives(rows: DataFrame, where: str, least: int = REVISIT_BYTES) -> D
 RECORD = "uri string, kind string, refers string, digest string, http_length long, origin string, number int, total long, block binary, fault string"
 
 
+def members(fs: pafs.FileSystem, inner: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    with fs.open_input_stream(inner, compression=None) as f:
+        yield from parse_members(f)
+
+
 def read_records(files: DataFrame) -> DataFrame:
     """All records of the listed files. ``origin`` and ``number`` are set for segments."""
 
@@ -194,11 +211,9 @@ def read_records(files: DataFrame) -> DataFrame:
         for b in batches:
             for name in b.column(0).to_pylist():
                 fs, inner = storage(name)
-                with fs.open_input_file(inner) as f:
-                    data = f.read()
                 rows: list[tuple] = []
                 held = 0
-                for h, block in parse_members(data):
+                for h, block in members(fs, inner):
                     segment = h["warc-type"] == "continuation" or "warc-segment-number" in h
                     rows.append((
                         h.get("warc-target-uri"), h["warc-type"], h.get("warc-refers-to-target-uri"), h.get("warc-payload-digest"), None, (h.get("warc-segment-origin-id") or h["warc-record-id"]) if segment else None,

@@ -91,3 +91,12 @@ def test_every_reference_names_a_response_and_large_repeated_rows_stay_apart(spa
     files = scratch.save(warc.write_archives(warc.with_revisits(docs), scratch.path("w")))
     found = warc.read_records(files).select("uri", "kind", "refers").collect()
     assert {r["refers"] for r in found if r["kind"] == "revisit"} == {"urn:page:3", "urn:page:4"} <= {r["uri"] for r in found if r["kind"] == "response"}
+
+
+def test_files_are_rolled_over(spark, tmp_path):
+    rows = spark.createDataFrame([(i, hashlib.sha256(b"%d" % i).hexdigest() * 1_000, None) for i in range(40)], "page_id long, payload string, refers long")
+    scratch = Scratch(spark, "t")
+    files = scratch.save(warc.write_archives(rows.repartition(2), scratch.path("w"), upto=4_000))
+    assert files.count() > 4 and files.agg({"records": "sum"}).first()[0] == 40
+    back = warc.reassembled(warc.read_records(files)).select("uri", "payload_bytes", "fault").collect()
+    assert sorted(map(tuple, back)) == sorted((f"urn:page:{i}", 64_000, None) for i in range(40))
