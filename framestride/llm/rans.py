@@ -5,25 +5,28 @@ writes its raw ids to the shared folder and counts them. The counts of all parts
 make one shared frequency table (its size is the vocabulary's). Every part then
 encodes its ids in independent blocks of whole documents. A block interleaves
 up to 1024 coder states over one stream of 32-bit words, so that coding is array
-work, and keeps checkpoints (all states and the place in the stream) from which
-decoding can start inside the block (``Block.stretches``), so that a stretch can be
-read without the rest; it also keeps checksums of its words and its ids.
+work, and keeps checkpoints (all states and the place in the stream) that cut it
+into stretches. A stretch has checksums of its own words and ids, is read without
+the rest of the block, and is decoded by whichever task it is dealt to; the
+checksums of a document that runs over stretches are joined afterwards.
 
 Files get a new name for each attempt and are listed in what the task returns,
 so a task that runs twice leaves one listed file.
 
 File: blocks one after another, each a header ``BLOCK`` of little-endian fields,
-its checkpoints, the last states, the document lengths, and its words.
+its stretches (``STRETCH`` and the states there), the document lengths, and its words.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -39,9 +42,11 @@ BLOCK_IDS = 1 << 20
 CHECKPOINT_STEPS = 512
 #: The lower bound of a coder state; states stay under 2 ** 63.
 LOW = 1 << 31
-#: magic, ids, documents, lanes, checkpoints, words, crc32 of words, crc32 of ids
-BLOCK = struct.Struct("<4sQQIIQII")
-MAGIC = b"RNS1"
+#: magic, ids, documents, lanes, stretches, words, crc32 of the document lengths
+BLOCK = struct.Struct("<4sQQIIQI")
+#: place of its first word in the block, crc32 of its words, crc32 of its ids
+STRETCH = struct.Struct("<QII")
+MAGIC = b"RNS2"
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -110,10 +115,15 @@ class Coder:
             if s and s % CHECKPOINT_STEPS == 0:
                 marks.append((words, state.copy()))
         stream = np.concatenate(out[::-1]) if out else np.zeros(0, dtype="<u4")
-        body = stream.tobytes()
-        head = BLOCK.pack(MAGIC, n, len(lengths), lanes, len(marks), words, zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()))
-        points = b"".join(struct.pack("<Q", words - w) + s.astype("<u8").tobytes() for w, s in marks[::-1])
-        return head + points + state.astype("<u8").tobytes() + np.asarray(lengths, dtype="<u8").tobytes() + body
+        starts = [(0, state), *((words - w, at) for w, at in marks[::-1])]
+        ends = [place for place, _ in starts[1:]] + [words]
+        size = CHECKPOINT_STEPS * lanes
+        points = [
+            STRETCH.pack(place, zlib.crc32(stream[place:end].tobytes()), zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes())) + at.astype("<u8").tobytes()
+            for k, ((place, at), end) in enumerate(zip(starts, ends, strict=True))]
+        told = np.asarray(lengths, dtype="<u8").tobytes()
+        head = BLOCK.pack(MAGIC, n, len(lengths), lanes, len(points), words, zlib.crc32(told))
+        return b"".join([head, *points, told, stream.tobytes()])
 
     def decode_steps(self, n: int, lanes: int, first: int, upto: int, state: np.ndarray, words: np.ndarray, at: int) -> np.ndarray:
         """Ids of the steps ``first`` to ``upto`` of a block, from the states and the place in its words there."""
@@ -135,39 +145,68 @@ class Coder:
 
 
 class Block:
-    """A block of a file, its parts still encoded."""
+    """A block of a file, of which ``read(at, size)`` gives bytes; only what is asked for is read."""
 
-    def __init__(self, data: memoryview):
-        magic, self.n, self.docs, self.lanes, marks, words, self.words_crc, self.ids_crc = BLOCK.unpack_from(data)
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        magic, self.n, self.docs, self.lanes, self.stretches, self.words, self.lengths_crc = BLOCK.unpack(read(0, BLOCK.size))
         if magic != MAGIC:
             raise ValueError("not a block")
-        at = BLOCK.size
-        self.marks = []
-        for _ in range(marks):
-            (place,) = struct.unpack_from("<Q", data, at)
-            self.marks.append((place, np.frombuffer(data, dtype="<u8", count=self.lanes, offset=at + 8)))
-            at += 8 + 8 * self.lanes
-        self.state = np.frombuffer(data, dtype="<u8", count=self.lanes, offset=at)
-        at += 8 * self.lanes
-        self.lengths = np.frombuffer(data, dtype="<u8", count=self.docs, offset=at).astype(np.int64)
-        at += 8 * self.docs
-        self.words = np.frombuffer(data, dtype="<u4", count=words, offset=at)
-        self.size = at + 4 * words
-        if zlib.crc32(self.words) != self.words_crc:
-            raise ValueError("the words of a block don't match their checksum")
-
-    def stretches(self) -> list[tuple[int, int, np.ndarray, int]]:
-        """``first, upto, state, place``: what can be decoded apart."""
-        steps = -(-self.n // self.lanes)
-        cuts = [0, *((k + 1) * CHECKPOINT_STEPS for k in range(len(self.marks))), steps]
-        starts = [(0, self.state), *self.marks]
-        return [(cuts[i], cuts[i + 1], s, p) for i, (p, s) in enumerate(starts)]
-
-    def ids(self, coder: Coder) -> np.ndarray:
-        out = np.concatenate([coder.decode_steps(self.n, self.lanes, a, b, s, self.words, p) for a, b, s, p in self.stretches()])
-        if zlib.crc32(out.astype("<u4").tobytes()) != self.ids_crc:
-            raise ValueError("the ids of a block don't match their checksum")
-        return out
+        self.entry = STRETCH.size + 8 * self.lanes
+        self.at_lengths = BLOCK.size + self.stretches * self.entry
+        self.at_words = self.at_lengths + 8 * self.docs
+
+    def lengths(self) -> np.ndarray:
+        """Ids of each document."""
+        told = self.read(self.at_lengths, 8 * self.docs)
+        if zlib.crc32(told) != self.lengths_crc:
+            raise ValueError("the lengths of a block don't match their checksum")
+        return np.frombuffer(told, dtype="<u8").astype(np.int64)
+
+    def stretch(self, coder: Coder, k: int) -> tuple[int, np.ndarray]:
+        """The place of stretch ``k`` among the block's ids, and its ids."""
+        at = BLOCK.size + k * self.entry
+        own = self.read(at, self.entry)
+        place, words_crc, ids_crc = STRETCH.unpack_from(own)
+        end = STRETCH.unpack(self.read(at + self.entry, STRETCH.size))[0] if k + 1 < self.stretches else self.words
+        body = self.read(self.at_words + 4 * place, 4 * (end - place))
+        if zlib.crc32(body) != words_crc:
+            raise ValueError("the words of a stretch don't match their checksum")
+        state = np.frombuffer(own, dtype="<u8", offset=STRETCH.size)
+        first = k * CHECKPOINT_STEPS
+        upto = min(first + CHECKPOINT_STEPS, -(-self.n // self.lanes))
+        ids = coder.decode_steps(self.n, self.lanes, first, upto, state, np.frombuffer(body, dtype="<u4"), 0).astype("<u4")
+        if zlib.crc32(ids.tobytes()) != ids_crc:
+            raise ValueError("the ids of a stretch don't match their checksum")
+        return first * self.lanes, ids
+
+
+def stretches_of(block: bytes) -> int:
+    return BLOCK.unpack_from(block)[4]
+
+
+#: The polynomial of crc32, lowest power in the highest bit.
+CRC_POLYNOMIAL = 0xEDB88320
+
+
+def crc_times(a: int, b: int) -> int:
+    """The product of two polynomials over bits, as remainders of crc32."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (CRC_POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def crc_join(first: int, second: int, size: int) -> int:
+    """crc32 of two runs of bytes in a row from those of each; ``size`` bytes are in the second."""
+    power, out = 1 << 23, first  # x to the 8th: a step of one byte
+    while size:
+        if size & 1:
+            out = crc_times(out, power)
+        power, size = crc_times(power, power), size >> 1
+    return out ^ second
 
 
 def storage(where: str) -> tuple[pafs.FileSystem, str]:
@@ -181,6 +220,14 @@ def byte_signs() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def cuts_at_spaces(told: dict) -> bool:
+    """Whether a tokenizer's description is that of plain byte-level pair merges, which ``Tokens`` may cut at spaces and classes."""
+    before, model = told.get("pre_tokenizer") or {}, told["model"]
+    plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(model.get("type") == "BPE" and plain and cuts and not told.get("normalizer") and not told.get("truncation") and not told.get("padding"))
+
+
 class Tokens(dict):
     """Ids of pieces of text as bytes, remembered up to a number of pieces.
 
@@ -190,7 +237,8 @@ class Tokens(dict):
     text. Runs beside a character of no listed class, and all of a text with an
     apostrophe, are cut at white space alone; texts with separators that Python
     and the tokenizer class differently, and texts with an added token's content
-    (``<|endoftext|>``), go whole.
+    (``<|endoftext|>``), go whole. So do all texts of a tokenizer whose file says
+    that it works otherwise (``cuts_at_spaces``).
     """
 
     SPACE = r"[\s\x1c-\x1f\x85]"
@@ -207,6 +255,7 @@ class Tokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width, self.memory = width, memory
+        self.pieces = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.fine = re.compile(self.FINE).findall
         self.coarse = re.compile(self.COARSE).findall
         # one run of letters, digits or signs is one unit of the tokenizer: its model alone gives the ids
@@ -234,7 +283,7 @@ class Tokens(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85") or any(a in text for a in self.added):
+        if not self.pieces or any(c in text for c in "\x1c\x1d\x1e\x1f\x85") or any(a in text for a in self.added):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.coarse(text) if "'" in text else self.fine(text)))
 
@@ -304,11 +353,11 @@ def read_raw(name: str, width: str) -> Iterator[tuple[int | None, np.ndarray]]:
 
 def write_blocks(files: DataFrame, where: str, freq: np.ndarray, width: str) -> DataFrame:
     """Encode each raw file (``part, file``) to a file of blocks. Rows, one for each block:
-    ``part, file, at, size, n_ids, before`` (ids of the part ahead of it) and ``doc_ids`` in order.
+    ``part, file, at, stretches, n_ids, before`` (ids of the part ahead of it) and ``doc_ids`` in order.
     """
     shared = files.sparkSession.sparkContext.broadcast(freq)
-    schema = "part int, file string, at long, size long, n_ids long, before long, doc_ids array<long>"
-    kind = pa.schema([("part", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
+    schema = "part int, file string, at long, stretches int, n_ids long, before long, doc_ids array<long>"
+    kind = pa.schema([("part", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("stretches", pa.int32()), ("n_ids", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
@@ -326,7 +375,7 @@ def write_blocks(files: DataFrame, where: str, freq: np.ndarray, width: str) ->
                         nonlocal place, before, total
                         block = coder.encode(np.concatenate(held), [len(x) for x in held])
                         out.write(block)
-                        rows.append({"part": part, "file": name, "at": place, "size": len(block), "n_ids": total, "before": before, "doc_ids": list(docs)})
+                        rows.append({"part": part, "file": name, "at": place, "stretches": stretches_of(block), "n_ids": total, "before": before, "doc_ids": list(docs)})
                         place, before, total = place + len(block), before + total, 0
                         docs.clear()
                         held.clear()
@@ -347,27 +396,67 @@ def write_blocks(files: DataFrame, where: str, freq: np.ndarray, width: str) ->
     return files.select("part", "file").repartitionByRange(n, "part").mapInArrow(run, schema)
 
 
-def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Decode blocks back: ``part, doc_id, before, n_tokens, ids_crc32``; ``before`` counts the part's ids ahead."""
-    shared = blocks.sparkSession.sparkContext.broadcast(freq)
+def read_stretches(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
+    """Decode blocks back, each stretch by itself: rows ``part, doc_id, before, n_tokens, at, n, crc``.
+
+    A row is what a stretch holds of a document: ``n`` ids from the ``at``-th on and their checksum.
+    ``before`` counts the part's ids ahead of the document.
+    """
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(freq)
+    names = ["part", "doc_id", "before", "n_tokens", "at", "n", "crc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for b in batches:
-            for r in b.to_pylist():
-                fs, inner = storage(r["file"])
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                fs, inner = storage(r["file"].as_py())
+                start = r["at"].as_py()
                 with fs.open_input_file(inner) as f:
-                    block = Block(memoryview(f.read_at(r["size"], r["at"])))
-                ids = block.ids(coder).astype("<u4")
-                ends = np.cumsum(block.lengths)
-                begins = ends - block.lengths
-                crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(begins, ends, strict=True)]
-                k = len(crc)
+                    block = Block(lambda at, size, f=f, start=start: f.read_at(size, start + at))
+                    place, ids = block.stretch(coder, r["stretch"].as_py())
+                    lengths = block.lengths()
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
+                # the documents that have an id here
+                own = slice(int(np.searchsorted(ends, place, "right")), int(np.searchsorted(begins, place + len(ids), "left")))
+                begins, ends = begins[own], ends[own]
+                low, high = np.maximum(begins, place), np.minimum(ends, place + len(ids))
+                data = memoryview(ids.tobytes())
+                crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip((low - place).tolist(), (high - place).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r["part"]] * k, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(begins + r["before"], pa.int64()), pa.array(block.lengths, pa.int64()), pa.array(crc, pa.int64())],
-                    ["part", "doc_id", "before", "n_tokens", "ids_crc32"])
+                    pa.array([r["part"].as_py()] * len(crc), pa.int32()), r["doc_ids"].values[own].cast(pa.int64()), pa.array(begins + r["before"].as_py(), pa.int64()),
+                    pa.array(lengths[own], pa.int64()), pa.array(low - begins, pa.int64()), pa.array(high - low, pa.int64()), pa.array(crc, pa.int64())], names)
+
+    apart = blocks.select("part", "file", "at", "before", "doc_ids", F.explode(F.sequence(F.lit(0), F.col("stretches") - 1)).alias("stretch"))
+    total = blocks.agg(F.sum("stretches")).first()[0] or 1
+    # rows are few and heavy: dealt out in turn, by a number that the adaptive plan leaves as it is
+    tasks = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.rdd.getNumPartitions()))
+    return apart.repartition(tasks).mapInArrow(run, "part int, doc_id long, before long, n_tokens long, at long, n long, crc long")
+
+
+def join_stretches(found: DataFrame) -> DataFrame:
+    """``part, doc_id, before, n_tokens, ids_crc32`` of each document from the saved rows of ``read_stretches``.
+
+    Most documents lie in one stretch; of the others, two a stretch at most, the checksums are joined.
+    """
+    @F.pandas_udf("long")
+    def joined(runs: pd.Series) -> pd.Series:
+        def one(row) -> int:
+            crc, done = 0, 0
+            for r in row:
+                if r["at"] != done:
+                    raise ValueError("a stretch of a document is missing")
+                crc, done = crc_join(crc, r["crc"], 4 * r["n"]), done + r["n"]
+            return crc
+
+        return runs.map(one)
 
-    return blocks.select("part", "file", "at", "size", "before", "doc_ids").mapInArrow(run, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    here = F.col("n") == F.col("n_tokens")
+    runs = found.filter(~here).groupBy("part", "doc_id", "before", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("runs"))
+    names = ["part", "doc_id", "before", "n_tokens"]
+    return found.filter(here).select(*names, F.col("crc").alias("ids_crc32")).unionByName(runs.select(*names, joined("runs").alias("ids_crc32")))
 
 
 def encode_table(docs: DataFrame, scratch: Scratch, path: str, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -394,7 +483,7 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, read the files back and tell each document's place, length and checksum.
 
     Null and empty texts have the end id alone; a very long text is a block of
-    its own; null ids come first; ties of ids follow each other by a hash of their
+    its own, read back by a task for each stretch; null ids come first; ties of ids follow each other by a hash of their
     texts; repeated rows each have a place; an empty table gives none; further
     columns don't matter.
     """
@@ -407,5 +496,5 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     firsts = np.concatenate([[0], np.cumsum([r["n"] for r in sums], dtype=np.int64)]).tolist()
     starts = spark.createDataFrame([(r["part"], firsts[i]) for i, r in enumerate(sums)], "p int, first long")
-    back = read_blocks(blocks, freq)
+    back = join_stretches(scratch.save(read_stretches(blocks, freq)))
     return back.join(F.broadcast(starts), F.col("part") == F.col("p")).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import duckdb
@@ -16,7 +17,6 @@ PATH = public_tokenizers.path(rans.VOCABULARY)
 
 def brute(rows):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
@@ -40,17 +40,21 @@ def test_empty_table(spark, tmp_path):
     assert rans.op1_rans_tokens(spark, write_documents(spark, tmp_path / "t", [])).count() == 0
 
 
+def opened(data):
+    return rans.Block(lambda at, size: bytes(data[at : at + size]))
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 1000, 700_000])
 def test_block_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.001, size=n), 50_000).astype(np.uint16)
     coder = rans.Coder(rans.frequencies(np.bincount(ids, minlength=50_257)))
-    block = rans.Block(memoryview(coder.encode(ids, [n])))
-    assert (block.ids(coder) == ids).all()
-    # each stretch decodes by itself
-    first, upto, state, place = block.stretches()[-1]
-    tail = coder.decode_steps(block.n, block.lanes, first, upto, state, block.words, place)
-    assert (tail == ids[first * block.lanes :]).all()
+    block = opened(coder.encode(ids, [n]))
+    assert block.lengths().tolist() == [n]
+    # each stretch decodes by itself, in any order
+    for k in reversed(range(block.stretches)):
+        place, got = block.stretch(coder, k)
+        assert (got == ids[place : place + len(got)]).all() and (k + 1 < block.stretches or place + len(got) == n)
 
 
 def test_size_is_near_the_entropy():
@@ -62,13 +66,33 @@ def test_size_is_near_the_entropy():
     assert size * 8 / len(ids) < -(p * np.log2(p)).sum() * 1.03
 
 
+@given(st.binary(max_size=300), st.binary(max_size=300))
+@settings(deadline=None)
+def test_checksums_are_joined(a, b):
+    assert rans.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_a_document_over_many_stretches(spark, tmp_path):
+    long = " ".join(f"w{i % 7919} x" for i in range(600_000))
+    rows = [(1, "a b", "s"), (2, long, "s"), (3, "c", "s"), (4, None, "s"), (5, long[: len(long) // 2], "s")]
+    got = [tuple(r) for r in rans.op1_rans_tokens(spark, write_documents(spark, tmp_path / "t", rows)).collect()]
+    assert sorted(got) == brute([(i, t) for i, t, _ in rows]) and got and max(r[2] for r in got) > 2 * rans.CHECKPOINT_STEPS * rans.LANES
+
+
+def test_other_tokenizers_take_whole_texts():
+    told = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert rans.cuts_at_spaces(told)
+    for change in ({"pre_tokenizer": {"type": "Metaspace"}}, {"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"model": {"type": "Unigram"}}):
+        assert not rans.cuts_at_spaces(told | change)
+
+
 def test_damage_is_noticed():
     ids = np.arange(5000, dtype=np.uint16) % 77
     coder = rans.Coder(rans.frequencies(np.bincount(ids, minlength=100)))
     data = bytearray(coder.encode(ids, [5000]))
     data[-1] ^= 1
     with pytest.raises(ValueError):
-        rans.Block(memoryview(bytes(data)))
+        opened(data).stretch(coder, 0)
 
 
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text(alphabet=" \t\n\x1c\x85ab'sé12²$…😀一 ", max_size=40))
