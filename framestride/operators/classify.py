@@ -120,11 +120,11 @@ def zoom(df: DataFrame, c: Columns = Columns()) -> DataFrame:
     return mark(df, where, F.format_string(SCALE, "scale"), ZOOM)
 
 
-def classify(df: DataFrame, limits: DataFrame, c: Columns = Columns()) -> DataFrame:
-    """The whole chain. ``limits`` has one row for each key with ``<column>_limit`` columns."""
+def classify(df: DataFrame, limits: DataFrame | None = None, c: Columns = Columns()) -> DataFrame:
+    """The whole chain. ``limits`` has one row for each key with ``<column>_limit`` columns; without it the rows have these."""
     lim = {x: F.col(f"{x}_limit") for x in ("hs", "di", "sat", "stripes_h", "stripes_v", "blocks")}
     w = along(c.key, c.index)
-    out = df.join(limits, c.key).withColumns({f"{x}_next": F.lead(x).over(w) for x in ("hs", "di", "sat")})
+    out = (df if limits is None else df.join(limits, c.key)).withColumns({f"{x}_next": F.lead(x).over(w) for x in ("hs", "di", "sat")})
     out = start(out, own_reasons(lim["stripes_h"], lim["stripes_v"], lim["blocks"]))
     out = first_frame(out, lim["hs"], lim["di"], c)
     out = two_sided(out, lim["hs"], lim["di"], lim["sat"], c)

@@ -24,10 +24,13 @@ SPLITS = {"train": 0.80, "valid": 0.10, "test": 0.10}
 RESTARTS, SEED = 2000, 42
 
 
-def cut_candidates(df: DataFrame, limits: DataFrame, key: str = "video", index: str = "idx") -> DataFrame:
-    """Adds ``z_hs, z_di, score, candidate``; the first place never is one, missing z-scores count as 0."""
+def cut_candidates(df: DataFrame, limits: DataFrame | None = None, key: str = "video", index: str = "idx") -> DataFrame:
+    """Adds ``z_hs, z_di, score, candidate``; the first place never is one, missing z-scores count as 0.
+
+    ``limits`` has one row for each key; without it the rows have its columns.
+    """
     z = {c: F.coalesce((F.col(c) - F.col(f"{c}_median")) / F.col(f"{c}_scale"), F.lit(0.0)) for c in ("hs", "di")}
-    out = df.join(limits, key).withColumns({"z_hs": z["hs"], "z_di": z["di"]})
+    out = (df if limits is None else df.join(limits, key)).withColumns({"z_hs": z["hs"], "z_di": z["di"]})
     out = out.withColumn("score", HS_WEIGHT * F.col("z_hs") + INTENSITY_WEIGHT * F.col("z_di"))
     over = flag(F.col("hs") >= F.col("hs_limit")) | flag(F.col("di") >= F.col("di_limit"))
     return out.withColumn("candidate", over & (F.col("score") >= MIN_SCORE) & (F.col(index) > 0))

@@ -1,7 +1,7 @@
 """Ordered sequences: neighbours, islands, spacing, buckets, splits, sampling.
 
-All windows of a plan share ``partition by key order by index``, so one exchange
-and one sort serve them.
+All windows of a plan are partitioned by the key, so one exchange serves them; those
+ordered by the index share a sort.
 """
 
 from __future__ import annotations

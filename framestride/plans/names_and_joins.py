@@ -173,7 +173,11 @@ def completeness(spark, sf_dir):
     return inference.completeness(docs, found, ["source"])
 
 
-@query()
+FINITE = """SELECT '{c}' AS metric, count(*) FILTER (WHERE isnan({c})) AS n_nan, count(*) FILTER (WHERE isinf({c})) AS n_infinite, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM e"""
+
+
+@query(f"""WITH e AS (SELECT value, CASE WHEN event_id % 3 = 0 THEN 'nan'::DOUBLE WHEN event_id % 101 = 0 THEN 'inf'::DOUBLE ELSE value END AS weights, CASE WHEN event_id % 5 > 0 THEN value END AS bias FROM events)
+{' UNION ALL '.join(FINITE.format(c=c) for c in ('value', 'weights', 'bias'))}""")
 def finite_check(spark, sf_dir):
     """Values of each column that aren't finite; a third of one column is made so first."""
     e = table(spark, sf_dir, "events")

@@ -34,7 +34,7 @@ SELECT video, idx, round(z_hs, 6) AS z_hs, round(z_di, 6) AS z_di, round(0.65::D
 coalesce(hs >= hs_limit, false) OR coalesce(di >= di_limit, false) AS over_limit, idx > 0 AND (coalesce(hs >= hs_limit, false) OR coalesce(di >= di_limit, false)) AND 0.65::DOUBLE * z_hs + 0.35::DOUBLE * z_di >= 3.5::DOUBLE AS candidate FROM z""")
 def cut_candidates(spark, sf_dir):
     ch = changes(spark, sf_dir)
-    out = scenes.cut_candidates(ch, robust.scaled_thresholds(ch, ["video"], CUT_FLOORS))
+    out = scenes.cut_candidates(robust.with_scaled_limits(ch, ["video"], CUT_FLOORS))
     over = F.coalesce(F.col("hs") >= F.col("hs_limit"), F.lit(False)) | F.coalesce(F.col("di") >= F.col("di_limit"), F.lit(False))
     return out.select("video", "idx", *r6("z_hs", "z_di", "score"), over.alias("over_limit"), "candidate")
 
@@ -138,11 +138,18 @@ def mean_descriptor(spark, sf_dir):
     return descriptors(spark, sf_dir).select("video", F.posexplode("descriptor").alias("bin", "x")).select("video", F.col("bin").cast("long").alias("bin"), *r6("x"))
 
 
-@query(f"""{WITH}{DESC} SELECT a.video AS a, b.video AS b, round(1 - sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) AS distance FROM dsc a JOIN dsc b ON a.bin = b.bin AND a.video < b.video AND a.video % 2 = b.video % 2 GROUP BY ALL""")
+SCENE_DESC = HIST + """, bins AS (SELECT video, scene, i, avg(h[i]) AS mh, avg(g[i]) AS mg FROM (SELECT video, idx // 16 AS scene, h, g, unnest(range(1, 65)) AS i FROM hst) GROUP BY ALL),
+un AS (SELECT video, scene, i, 0.75::DOUBLE * mh / sqrt(sum(mh * mh) OVER v) AS a, 0.25::DOUBLE * mg / sqrt(sum(mg * mg) OVER v) AS b FROM bins WINDOW v AS (PARTITION BY video, scene)),
+dsc AS (SELECT video, scene, i - 1 AS bin, a AS x FROM un UNION ALL SELECT video, scene, i + 63, b FROM un)"""
+
+
+@query(f"""{WITH}{SCENE_DESC} SELECT a.video, a.scene AS a, b.scene AS b, round(1 - sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) AS distance FROM dsc a JOIN dsc b ON a.bin = b.bin AND a.video = b.video AND a.scene < b.scene GROUP BY ALL""")
 def pairwise_cosine(spark, sf_dir):
-    d = descriptors(spark, sf_dir).withColumn("part", F.col("video") % 2)
-    a, b = d.select("part", F.col("video").alias("a"), F.col("descriptor").alias("x")), d.select("part", F.col("video").alias("b"), F.col("descriptor").alias("y"))
-    return a.join(b, "part").filter("a < b").select("a", "b", F.round(cosine_distance("x", "y"), 6).alias("distance"))
+    """All pairs of the scenes of a video; scenes are stretches of 16 frames here, so a video has few."""
+    h = histograms(spark, sf_dir).withColumn("scene", seq.block("idx", 16))
+    d = scenes.mean_descriptor(h, ["video", "scene"], "h", "g")
+    a, b = d.select("video", F.col("scene").alias("a"), F.col("descriptor").alias("x")), d.select("video", F.col("scene").alias("b"), F.col("descriptor").alias("y"))
+    return a.join(b, "video").filter("a < b").select("video", "a", "b", F.round(cosine_distance("x", "y"), 6).alias("distance"))
 
 
 @query()

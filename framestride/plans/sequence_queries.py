@@ -105,8 +105,7 @@ spl AS (SELECT *, CASE WHEN NOT valid THEN 'excluida' WHEN sum(valid::INT) OVER
 def excluded_pairs(spark, sf_dir) -> DataFrame:
     """Pairs with strict exclusion by robust thresholds."""
     pairs = changes(spark, sf_dir).filter("idx > 0").select("video", (F.col("idx") - 1).alias("idx"), F.round("hs", 9).alias("hs"), F.round("di", 9).alias("di"))
-    limits = robust.pair_thresholds(pairs, ["video"], ["hs", "di"])
-    out = pairs.join(limits, "video").withColumns({"excluded_transition": flag(F.col("hs") > F.round("hs_limit", 9)), "excluded_motion": flag(F.col("di") > F.round("di_limit", 9))})
+    out = robust.with_pair_limits(pairs, ["video"], ["hs", "di"]).withColumns({"excluded_transition": flag(F.col("hs") > F.round("hs_limit", 9)), "excluded_motion": flag(F.col("di") > F.round("di_limit", 9))})
     return out.withColumn("valid", ~(F.col("excluded_transition") | F.col("excluded_motion"))).drop("hs_limit", "di_limit")
 
 
@@ -137,10 +136,9 @@ def project_pairs(spark, sf_dir):
 @query(f"""{WITH}{EXCLUSION} SELECT s.video, count(*) + 1 AS frames, count(*) AS pairs, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'valid') AS valid, count(*) FILTER (WHERE split = 'excluida') AS excluded,
 round(any_value(hs_limit), 6) AS hs_limit, round(any_value(di_limit), 6) AS di_limit FROM spl s JOIN lim l ON s.video = l.video GROUP BY s.video""")
 def prep_summary(spark, sf_dir):
-    out = split_pairs(spark, sf_dir)
-    limits = robust.pair_thresholds(out, ["video"], ["hs", "di"])
-    counts = out.groupBy("video").agg((F.count(F.lit(1)) + 1).alias("frames"), F.count(F.lit(1)).alias("pairs"), *[F.count_if(F.col("split") == s).alias(n) for s, n in (("train", "train"), ("valid", "valid"), ("excluida", "excluded"))])
-    return counts.join(limits, "video").select("video", "frames", "pairs", "train", "valid", "excluded", *r6("hs_limit", "di_limit"))
+    out = robust.with_pair_limits(split_pairs(spark, sf_dir), ["video"], ["hs", "di"])
+    counts = out.groupBy("video").agg(*[F.first(f"{c}_limit").alias(f"{c}_limit") for c in ("hs", "di")], (F.count(F.lit(1)) + 1).alias("frames"), F.count(F.lit(1)).alias("pairs"), *[F.count_if(F.col("split") == s).alias(n) for s, n in (("train", "train"), ("valid", "valid"), ("excluida", "excluded"))])
+    return counts.select("video", "frames", "pairs", "train", "valid", "excluded", *r6("hs_limit", "di_limit"))
 
 
 # ------------------------------------------------------------------ rules
@@ -182,11 +180,10 @@ CLASSIFIED = ZOOM + _gap("s6", "s7", 6)
 
 def states(spark, sf_dir, upto: int) -> DataFrame:
     """The chain up to a rule: own, first frame, two sides, tail, gap, zoom, gap."""
-    looks = with_looks(changes(spark, sf_dir))
-    limits = robust.floored_thresholds(looks, ["video"], FLOORS)
+    looks = robust.with_floored_limits(with_looks(changes(spark, sf_dir)), ["video"], FLOORS)
     if upto == 7:
-        return rules.classify(looks, limits)
-    out = looks.join(limits, "video").withColumns({f"{c}_next": F.lead(c).over(seq.along()) for c in ("hs", "di", "sat")})
+        return rules.classify(looks)
+    out = looks.withColumns({f"{c}_next": F.lead(c).over(seq.along()) for c in ("hs", "di", "sat")})
     lim = {c: F.col(f"{c}_limit") for c in FLOORS}
     out = rules.start(out, rules.own_reasons(lim["stripes_h"], lim["stripes_v"], lim["blocks"]))
     steps = [lambda d: rules.first_frame(d, lim["hs"], lim["di"]), lambda d: rules.two_sided(d, lim["hs"], lim["di"], lim["sat"]), rules.tail_extension, rules.gap_fill, rules.zoom]

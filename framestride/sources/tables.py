@@ -20,9 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``video, idx, frame, v, k``."""
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    out = e.select(F.col("event_type").alias("video"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("value").alias("v"), F.regexp_extract("props", r"(\d+)", 1).try_cast("double").alias("k"))
+    # named before it is numbered, so that later windows over the video find its rows together
+    e = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "video", "value": "v"})
+    w = W.partitionBy("video").orderBy("ts", "event_id")
+    out = e.select("video", (F.row_number().over(w) - 1).cast("long").alias("idx"), "v", F.regexp_extract("props", r"(\d+)", 1).try_cast("double").alias("k"))
     return out.withColumn("frame", F.concat(F.lit("frame_"), F.lpad(F.col("idx").cast("string"), 7, "0"), F.lit(".png")))
 
 
@@ -45,7 +46,8 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frame, video, idx, px``: arrays of 64 grey values, frames of a label in the order of their ids."""
     e = table(spark, sf_dir, "embeddings")
     px = F.transform("embedding", lambda x: uint8((x.cast("double") + 0.5) * 255))
-    return e.select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("video"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("idx"), px.alias("px"))
+    own = e.select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("video"), px.alias("px"))
+    return own.select("frame", "video", (F.row_number().over(W.partitionBy("video").orderBy("frame")) - 1).cast("long").alias("idx"), "px")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
