@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framestride.llm.common import Scratch, pick, small, table, with_row_ids
+from framestride.llm.words import find_words, number_words
 
 WINDOW = 10
 #: Bytes of text from which a shard is built.
@@ -34,39 +35,9 @@ SLICE_ITEMS = 5_000
 #: Starts examined at once for all phrases of a shard.
 STARTS = 1 << 20
 
-#: 1 for bytes of words: 0-9, a-z (A-Z are lower-cased) and all of non-ASCII characters.
-FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 0 for c in range(256)], dtype=np.uint8)
 INDEX_SCHEMA = "shard string, rows array<long>, starts array<int>, word_bytes binary, word_ends array<int>, list_ends array<int>, positions binary"
 
 
-def find_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes, and the first byte and the byte past the end of every word."""
-    folded = FOLD[data]
-    inside = np.empty(len(data) + 2, dtype=bool)
-    inside[0] = inside[-1] = False
-    inside[1:-1] = folded != 0
-    turn = np.flatnonzero(inside[1:] != inside[:-1])
-    return folded, turn[0::2], turn[1::2]
-
-
-def hash_words(folded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, by sums of 8-byte pieces with odd multipliers."""
-    padded = np.concatenate([folded, np.zeros(8, dtype=np.uint8)])
-    eights = np.ndarray((len(folded) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    size = end - begin
-    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at, left, live = begin, size, np.arange(len(begin))
-    while len(live):
-        part = eights[at]
-        cut = np.minimum(left, 8).astype(np.uint64)
-        part = np.where(cut < 8, part & ((np.uint64(1) << (cut % np.uint64(8) * np.uint64(8))) - np.uint64(1)), part)
-        h = (out[live] ^ part) * np.uint64(0xBF58476D1CE4E5B9)
-        out[live] = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (h >> np.uint64(32))
-        more = left > 8
-        at, left, live = at[more] + 8, left[more] - 8, live[more]
-    return out
-
-
 def build_shard(rows: list[int], texts: list[bytes]) -> dict:
     """The posting lists of some documents. Positions count words through the shard, with ``WINDOW`` free places between documents."""
     data = np.frombuffer(b"\0".join(texts), dtype=np.uint8)
@@ -76,12 +47,11 @@ def build_shard(rows: list[int], texts: list[bytes]) -> dict:
     n = np.bincount(doc, minlength=len(texts))
     starts = np.concatenate([[0], np.cumsum(n + WINDOW)])
     pos = np.arange(len(begin)) + doc * WINDOW
-    _, first, term = np.unique(hash_words(folded, begin, end), return_index=True, return_inverse=True)
+    blob, term = number_words(folded, begin, end)
     order = np.argsort(term, kind="stable")
-    blob = [folded[b:e].tobytes() for b, e in zip(begin[first], end[first], strict=True)]
     return {
         "shard": uuid.uuid4().hex, "rows": rows, "starts": starts.astype(np.int32), "word_bytes": b"".join(blob), "word_ends": np.cumsum([len(b) for b in blob]).astype(np.int32),
-        "list_ends": np.cumsum(np.bincount(term, minlength=len(first))).astype(np.int32), "positions": pos[order].astype("<i4").tobytes(),
+        "list_ends": np.cumsum(np.bincount(term, minlength=len(blob))).astype(np.int32), "positions": pos[order].astype("<i4").tobytes(),
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framestride.llm import host_rules, licenses, mixing, phrase_index, pu_quality, rans, secrets, sharding, simhash, warc
+from framestride.llm import centroids, host_rules, html_text, licenses, mixing, phrase_index, pu_quality, ranked, rans, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_rans_tokens": rans.op1_rans_tokens,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_simhash": simhash.op10_simhash,
+    "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_html_text": html_text.op13_html_text,
 }
 
 ORACLES = {
@@ -25,4 +28,6 @@ ORACLES = {
     "op7_warc": warc.SQL,
     "op8_secrets": secrets.SQL,
     "op9_host_rules": host_rules.SQL,
+    "op11_ranked_search": ranked.SQL,
+    "op12_centroids": centroids.SQL,
 }

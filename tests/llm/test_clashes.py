@@ -1,4 +1,4 @@
-"""Further columns of any name change nothing in the rows of the ten queries."""
+"""Further columns of any name change nothing in the rows of the queries."""
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,7 +13,7 @@ NAMES = ["_node", "_file", "_fs_file", "_fs_row", "_path", "_place", "row", "par
 @pytest.fixture(scope="module")
 def clashing(tmp_path_factory):
     folder = tmp_path_factory.mktemp("clashing")
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         t = pq.read_table(f"{SOURCE}/{name}.parquet")
         for c in NAMES:
             if c not in t.column_names:
