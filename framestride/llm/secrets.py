@@ -2,18 +2,19 @@
 
 All work stays inside the row in built-in functions. Pieces between matches and
 matches alternate, so their lengths give every match's place. Candidates of the
-entropy method are long runs of key characters. A window slides over each, with a
-count for each character that is kept from step to step: the sum of c log2 c changes
-by the entering and the leaving character's count alone, and gives the Shannon
-entropy of the window.
-Each character class has its own threshold; runs on the allow-list (identifiers
-with dashes, placeholders, runs of digits or letters alone) are left out.
+entropy method are long runs of key characters. Words that a delimiter sets off at
+either end (a path, a slug, the name before a ``=``) are no part of the key; what is
+left has a class by its characters: hexadecimal, letters, base32, base64. A window
+slides over it, with a count for each character of the class that is kept from step
+to step, several counts to a number: the sum of c log2 c changes by the counts of the
+entering and of the leaving character alone, and gives the Shannon entropy of the
+window. Sums are whole numbers, so they don't drift. Each class has a threshold of
+its own; the allow-list is asked for what is left, not for the run around it.
 """
 
 from __future__ import annotations
 
 import math
-import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +28,28 @@ HEX = r"[0-9a-f]{32,}"
 #: Characters in a window, and the least length of a candidate.
 WINDOW = 24
 RUN = "A-Za-z0-9+/=_-"
-ALPHABET = string.ascii_letters + string.digits + "+/=_-"
 CANDIDATE = rf"(?<![{RUN}])[{RUN}]{{{WINDOW},}}+"
-#: Pattern of the whole candidate and the entropy in bits that a window must reach, first match counts.
-CLASSES = [("[0-9a-f]+|[0-9A-F]+", 3.05), ("[A-Za-z0-9+/=_-]+", 3.85)]
+#: Signs that set words of a path, a slug or an assignment apart.
+DELIMITERS = "[/=_-]"
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+_UUID_BACK = "[0-9a-f]{12}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{8}"
+#: What is a word: of one case, capitalised, in camel case, with a number behind, a number, an identifier with dashes.
+WORD = f"{_UUID}|[a-z]{{1,20}}(?:[A-Z][a-z]{{2,19}}){{0,6}}|(?:[A-Z][a-z]{{1,19}}){{1,6}}|[A-Z]{{1,20}}|[0-9]{{1,8}}|[A-Za-z]{{1,12}}[0-9]{{1,4}}"
+#: The same read backwards.
+WORD_BACK = f"{_UUID_BACK}|(?:[a-z]{{2,19}}[A-Z]){{0,6}}[a-z]{{1,20}}|(?:[a-z]{{1,19}}[A-Z]){{1,6}}|[A-Z]{{1,20}}|[0-9]{{1,8}}|[0-9]{{1,4}}[A-Za-z]{{1,12}}"
+#: Classes, the first whose pattern the whole candidate matches counts: its characters and the bits of entropy that a window must reach.
+CLASSES = [
+    ("[0-9a-f]+|[0-9A-F]+", "0123456789abcdefABCDEF", 3.05),
+    ("[A-Za-z]+", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.95),
+    ("[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 3.6),
+    (f"[{RUN}]+", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-", 3.85),
+]
 #: Candidates that are no secrets.
-ALLOWED = r"(?i)example|dummy|placeholder|changeme|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9+/=_-]+$|^[A-Za-z+/=_-]+$"
-#: Lengths up to this are walked as one piece; longer candidates in pieces that overlap by a window.
-PIECE = 1024
+ALLOWED = "(?i)example|dummy|placeholder|changeme|^[0-9+/=_-]+$"
+#: Steps of a window that are walked as one piece; longer candidates are walked in pieces that overlap by a window.
+PIECE = 1000
+#: Counts in one number, bits of each, and the whole numbers that stand for one bit of c log2 c.
+COUNTERS, COUNTER_BITS, UNIT = 12, 5, 10**9
 #: Matches whose places are summed together.
 GROUP = 256
 
@@ -88,45 +103,81 @@ def found(text: Column, pattern: str, kind: int, keep=None, inner=None) -> Colum
     return let(text, of)
 
 
-def hot_windows(piece: Column, least: Column) -> Column:
-    """First and last end (from 1) of windows of ``piece`` whose entropy reaches ``least``; -1 without one."""
-    clogc = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)])
+def class_facts(kind: Column) -> Column:
+    """What a walk needs of the class: its alphabet, how many numbers hold its counts, and the largest sum of a hot window."""
+    # entropy of a window is log2(WINDOW) - sum / WINDOW
+    return F.get(F.array(*[F.struct(
+        F.lit(alphabet).alias("alphabet"), F.lit(-(-len(alphabet) // COUNTERS)).alias("numbers"), F.lit(math.floor((math.log2(WINDOW) - bits) * WINDOW * UNIT)).cast("long").alias("most"))
+        for _, alphabet, bits in CLASSES]), kind)
 
-    def code(i: Column) -> Column:
-        return F.call_function("instr", F.lit(ALPHABET), F.substring(piece, i, F.lit(1))) - 1
 
-    def step(a: Column, i: Column) -> Column:
-        # the character that leaves the window, if it is full, and the one that enters
-        return let(F.struct(F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1)).alias("out"), code(i).alias("in")), lambda x: moved(a, i, x))
+def hot_windows(piece: Column, facts: Column) -> Column:
+    """First and last end (from 1) of windows of ``piece`` that are hot for the class; -1 without one."""
+    clogc = F.array(*[F.lit(0 if c < 2 else round(c * math.log2(c) * UNIT)).cast("long") for c in range(WINDOW + 2)])
+    one, mask = F.lit(1).cast("long"), F.lit((1 << COUNTER_BITS) - 1).cast("long")
 
-    def moved(a: Column, i: Column, x: Column) -> Column:
-        gone = F.get(a["n"], x["out"])
-        less = F.when(x["out"] >= 0, a["s"] - F.get(clogc, gone) + F.get(clogc, gone - 1)).otherwise(a["s"])
-        before = F.get(a["n"], x["in"]) - (x["in"] == x["out"]).cast("int")
-        counts = F.transform(a["n"], lambda c, k: c + (k == x["in"]).cast("int") - (k == x["out"]).cast("int"))
-        return let(less + F.get(clogc, before + 1) - F.get(clogc, before), lambda s: hit(a, i, s, counts))
+    def count(n: Column, at: Column) -> Column:
+        return F.call_function("shiftright", F.get(n, at["number"]), at["bit"]).bitwiseAND(mask).cast("int")
 
-    def hit(a: Column, i: Column, s: Column, counts: Column) -> Column:
-        hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - s / WINDOW >= least)
-        return F.struct(s.alias("s"), counts.alias("n"), F.when(hot & (a["first"] < 0), i).otherwise(a["first"]).alias("first"), F.when(hot, i).otherwise(a["last"]).alias("last"))
+    def added(n: Column, at: Column, sign: int) -> Column:
+        return F.transform(n, lambda x, k: F.when(k == at["number"], x + sign * F.call_function("shiftleft", one, at["bit"])).otherwise(x))
 
-    empty = F.array_repeat(F.lit(0), len(ALPHABET))
-    start = F.struct(F.lit(0.0).alias("s"), empty.alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    def entered(a: Column, x: Column, n: Column, s: Column) -> Column:
+        return let(count(n, x["in"]), lambda c: let(s + F.get(clogc, c + 1) - F.get(clogc, c), lambda now: noted(a, now, added(n, x["in"], 1))))
+
+    def left(a: Column, x: Column) -> Column:
+        return let(count(a["n"], x["out"]), lambda c: let(F.struct(added(a["n"], x["out"], -1).alias("n"), (a["s"] - F.get(clogc, c) + F.get(clogc, c - 1)).alias("s")), lambda b: entered(a, x, b["n"], b["s"])))
+
+    def noted(a: Column, s: Column, n: Column) -> Column:
+        i = a["i"] + 1
+        hot = (i >= WINDOW) & (s <= facts["most"])
+        return F.struct(i.alias("i"), s.alias("s"), n.alias("n"), F.when(hot & (a["first"] < 0), i).otherwise(a["first"]).alias("first"), F.when(hot, i).otherwise(a["last"]).alias("last"))
+
+    def walk(codes: Column) -> Column:
+        # every character beside the one that leaves the window as it enters
+        gone = F.concat(F.array_repeat(F.lit(None).cast("struct<number:int,bit:int>"), WINDOW), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - WINDOW, F.lit(0))))
+        steps = F.zip_with(codes, F.slice(gone, F.lit(1), F.size(codes)), lambda c, o: F.struct(c.alias("in"), o.alias("out")))
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"), F.array_repeat(F.lit(0).cast("long"), facts["numbers"]).alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        return F.aggregate(steps, start, lambda a, x: F.when(x["out"].isNotNull(), left(a, x)).otherwise(entered(a, x, a["n"], a["s"])), lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    places = F.transform(F.split(piece, ""), lambda c: let(F.call_function("instr", facts["alphabet"], c) - 1, lambda i: F.struct(F.call_function("div", i, F.lit(COUNTERS)).cast("int").alias("number"), (i % COUNTERS * COUNTER_BITS).cast("int").alias("bit"))))
+    return let(places, walk)
+
+
+def hot_stretch(core: Column, facts: Column) -> Column:
+    """Start (from 0) and end of the stretch from the first hot window of ``core`` to its last; null without one."""
+
+    def of(strides: Column) -> Column:
+        # a piece is a stride and what a window needs of the next one
+        pieces = F.zip_with(strides, F.slice(strides, F.lit(2), F.size(strides)), lambda a, b: F.concat(a, F.substring(F.coalesce(b, F.lit("")), 1, WINDOW - 1)))
+        hot = F.filter(F.transform(pieces, lambda p, i: let(hot_windows(p, facts), lambda h: F.when(h["first"] > 0, F.struct((i * PIECE + h["first"] - WINDOW).alias("from"), (i * PIECE + h["last"]).alias("to"))))), lambda x: x.isNotNull())
+        return let(hot, lambda h: F.when(F.size(h) > 0, F.struct(F.get(h, F.lit(0))["from"].alias("from"), F.element_at(h, -1)["to"].alias("to"))))
+
+    return let(F.regexp_extract_all(core, F.lit(f".{{1,{PIECE}}}+"), F.lit(0)), of)
 
 
 def entropy_spans(span: Column, run: Column) -> Column:
     """The stretch of a candidate from its first to its last hot window, as an array of one span or none."""
-    least = F.coalesce(*[F.when(F.rlike(run, F.lit(f"^(?:{p})$")), F.lit(t)) for p, t in CLASSES])
-    stride = PIECE - WINDOW + 1
+    none = F.array().cast(NONE)
+
+    def of(lead: Column) -> Column:
+        rest = F.substring(run, lead + 1, F.length(run))
+        back = F.length(F.regexp_extract(F.reverse(rest), f"^{DELIMITERS}*+(?:(?:{WORD_BACK}){DELIMITERS}++)*+", 0))
+        core = let(rest, lambda r: let(back, lambda n: F.substring(r, F.lit(1), F.length(r) - n)))
+        return let(core, lambda c: found_in(lead, c))
+
+    def found_in(lead: Column, core: Column) -> Column:
+        kind = F.when((F.length(core) < WINDOW) | F.rlike(core, F.lit(ALLOWED)) | F.rlike(core, F.lit(f"^(?:{WORD})$")), F.lit(-1))
+        for i, (pattern, *_) in enumerate(CLASSES):
+            kind = kind.when(F.rlike(core, F.lit(f"^(?:{pattern})$")), F.lit(i))
+
+        def stretch(k: Column) -> Column:
+            hot = F.when(k >= 0, let(class_facts(k), lambda facts: hot_stretch(core, facts)))
+            return let(hot, lambda h: F.when(h.isNotNull(), F.array(F.struct((span["start"] + lead + h["from"]).alias("start"), span["kind"].alias("kind"), (span["start"] + lead + h["to"]).alias("end")))).otherwise(none))
 
-    def of(bits: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.length(run) - WINDOW, F.lit(0)), F.lit(stride))
-        hot = F.filter(F.transform(starts, lambda b: let(hot_windows(F.substring(run, b + 1, F.lit(PIECE)), bits), lambda h: F.when(h["first"] > 0, F.struct((b + h["first"] - WINDOW).alias("from"), (b + h["last"]).alias("to"))))), lambda x: x.isNotNull())
-        return let(hot, lambda h: F.when(F.size(h) > 0, F.array(F.struct(
-            (span["start"] + F.get(h, F.lit(0))["from"]).alias("start"), span["kind"].alias("kind"), (span["start"] + F.element_at(h, -1)["to"]).alias("end")))).otherwise(F.array().cast(NONE)))
+        return let(kind, stretch)
 
-    return F.when(F.rlike(run, F.lit(ALLOWED)), F.array().cast(NONE)).otherwise(let(least, of))
+    return let(F.length(F.regexp_extract(run, f"^{DELIMITERS}*+(?:(?:{WORD}){DELIMITERS}++)*+", 0)), of)
 
 
 def joined(spans: Column) -> Column:
@@ -157,7 +208,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "_entropy"))).alias("spans"))
 
 
-_ALLOW_SQL = ALLOWED.replace("'", "''")
+_CLASS_SQL = " ".join(f"WHEN regexp_full_match(hit, '{p}') THEN {bits}::DOUBLE" for p, _, bits in CLASSES)
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 k(kind, name, pat) AS (VALUES
@@ -173,9 +224,12 @@ r AS (
 ), base AS (
   SELECT rid, kind, name, a, a + n AS b FROM s
   WHERE kind = 0 AND length(regexp_extract(hit, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8 OR kind = 1 AND n >= 16 OR kind = 2 AND n >= 32
+), c0 AS (
+  SELECT rid, a + len(hit) - len(rest) AS a, rest FROM (SELECT *, regexp_replace(hit, '^{DELIMITERS}*(?:(?:{WORD}){DELIMITERS}+)*', '') AS rest FROM s WHERE kind = 3 AND n >= 24)
+), c1 AS (
+  SELECT rid, a, rest[1:len(rest) - len(reverse(rest)) + len(regexp_replace(reverse(rest), '^{DELIMITERS}*(?:(?:{WORD_BACK}){DELIMITERS}+)*', ''))] AS hit FROM c0
 ), c AS (
-  SELECT rid, a, hit, n, CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 3.05::DOUBLE ELSE 3.85 END AS least FROM s
-  WHERE kind = 3 AND n >= 24 AND NOT regexp_matches(hit, '{_ALLOW_SQL}')
+  SELECT rid, a, hit, len(hit) AS n, CASE {_CLASS_SQL} END AS least FROM c1 WHERE len(hit) >= 24 AND NOT regexp_matches(hit, '{ALLOWED}') AND NOT regexp_full_match(hit, '{WORD}')
 ), x AS (
   SELECT rid, a, p, least, entropy(ch) AS e FROM (SELECT rid, a, p, least, unnest(string_split(hit[p + 1:p + 24], '')) AS ch FROM (SELECT *, unnest(range(n - 23)) AS p FROM c)) GROUP BY ALL
 ), e AS (

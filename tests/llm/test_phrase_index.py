@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framestride.llm import phrase_index as px
+from framestride.llm import words as word_arrays
 from tests.llm.helpers import ODD, frame, write_documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -94,8 +95,8 @@ def test_proximity():
 
 def test_word_hashes_differ():
     many = [f"w{i}" for i in range(200_000)] + ["é" * i for i in range(1, 60)] + ["a" * i for i in range(1, 60)]
-    _, begin, end = px.find_words(data := np.frombuffer(" ".join(many).encode(), dtype=np.uint8))
-    assert len(np.unique(px.hash_words(px.FOLD[data], begin, end))) == len(many)
+    _, begin, end = word_arrays.find_words(data := np.frombuffer(" ".join(many).encode(), dtype=np.uint8))
+    assert len(np.unique(word_arrays.hash_words(word_arrays.FOLD[data], begin, end))) == len(many)
 
 
 def test_stage_drops_contaminated_documents(spark, tmp_path):

@@ -57,6 +57,32 @@ def test_licenses_equal_brute_force(spark, tmp_path):
 
 
 KEY = r"[A-Za-z0-9+/=_-]"
+UUID = re.compile("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+
+
+def is_word(s):
+    if re.fullmatch("[0-9]{1,8}|[A-Z]{1,20}|[A-Za-z]{1,12}[0-9]{1,4}", s):
+        return True
+    if not s.isalpha():
+        return False
+    first, *humps = re.findall("[A-Z]?[a-z]*", s)[:-1]
+    low = len(first) - first[:1].isupper()
+    camel = len(humps) <= 6 and all(h[0].isupper() and 3 <= len(h) <= 20 for h in humps)
+    capitals = len(humps) <= 5 and all(h[0].isupper() and 2 <= len(h) <= 20 for h in [first, *humps])
+    return (not first[:1].isupper() and 1 <= low <= 20 and camel) or capitals
+
+
+def lead(s, backwards=False):
+    """How many characters the words at the beginning take, each with the signs behind it."""
+    turn = (lambda x: x[::-1]) if backwards else (lambda x: x)
+    i = len(s) - len(s.lstrip("/=_-"))
+    while True:
+        end = next((j for j in range(i, len(s)) if s[j] in "/=_-"), len(s))
+        if UUID.fullmatch(turn(s[i : i + 36])) and s[i + 36 : i + 37] in ("/", "=", "_", "-"):
+            end = i + 36
+        elif end == len(s) or end == i or not is_word(turn(s[i:end])):
+            return i
+        i = end + len(s[end:]) - len(s[end:].lstrip("/=_-"))
 
 
 def brute_secrets(text):
@@ -70,21 +96,58 @@ def brute_secrets(text):
     base = sorted(spans)
     for m in re.finditer(f"{KEY}+", t):
         s = m[0]
-        if len(s) < 24 or re.search(secrets.ALLOWED, s):
+        if len(s) < 24:
             continue
-        least = 3.05 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else 3.85
+        begin = lead(s)
+        s = s[begin:]
+        s = s[: len(s) - lead(s[::-1], True)]
+        if len(s) < 24 or re.search("example|dummy|placeholder|changeme", s.lower()) or re.fullmatch("[0-9+/=_-]+", s) or UUID.fullmatch(s) or (not re.search("[/=_-]", s) and is_word(s)):
+            continue
+        hexa, letters, b32 = re.fullmatch("[0-9a-f]+|[0-9A-F]+", s), s.isalpha(), re.fullmatch("[A-Z2-7]+", s)
+        least = 3.05 if hexa else 3.95 if letters else 3.6 if b32 else 3.85
         hot = []
         for p in range(len(s) - 23):
             c = Counter(s[p : p + 24]).values()
             if -sum(n / 24 * math.log2(n / 24) for n in c) >= least:
                 hot.append(p)
         if hot:
-            spans.append((m.start() + hot[0], 3, m.start() + hot[-1] + 24))
+            spans.append((m.start() + begin + hot[0], 3, m.start() + begin + hot[-1] + 24))
     show = lambda x: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x))
     n = Counter(k for _, k, _ in base)
     return n[0], n[1], n[2], hashlib.sha256(show(base).encode()).hexdigest(), show(spans)
 
 
+RANDOM36, LETTERS64, BASE32 = "kJ8s0QzX4mVt7LpR2wYb9NcD5gHf1TaE6uKi", "qXkzWvJpBnMtYhRgFdLcSaQeUiOwPxZmVyKjTrNbGhDsCfLqAwEkXzJvRpYtMuHo", "JBSWY3DPEHPK3PXPMF2GC3DPNR2HE6LN"
+#: Texts and the entropy spans they have, by hand.
+FIXED = [
+    ("example-bucket/" + RANDOM36, "entropy:15:51"), ("dummy_x=" + RANDOM36, "entropy:8:44"), (LETTERS64, "entropy:0:64"), (BASE32, "entropy:0:32"), (RANDOM36 + "/example/data", "entropy:0:36"),
+    ("my-app-key/prod/eu-west-1/service_name", ""), ("how-to-build-a-house-in-10-days-without-tools", ""), ("The/quick/brown/fox/jumps/over/13/lazy/dogs", ""), ("/usr/local/share/java/AbstractFactory/v2", ""),
+    ("abstractSingletonProxyFactoryBean", ""), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ""), ("123e4567-e89b-42d3-a456-426614174000", ""), ("123e4567-e89b-42d3-a456-426614174000/" + RANDOM36, "entropy:37:73"),
+    ("123456789012345678901234567890", ""), ("m" * 100, "")]
+
+
+def test_entropy_spans_of_fixed_texts(spark, tmp_path):
+    got = {r["doc_id"]: r["spans"] for r in secrets.op8_secrets(spark, write_documents(spark, tmp_path / "t", [(i, t, "s") for i, (t, _) in enumerate(FIXED)])).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(FIXED)] == FIXED
+
+
+def test_very_long_candidates_take_time_in_proportion(spark, tmp_path):
+    import time
+
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    took = []
+    for n in (250_000, 1_000_000):
+        rows = [(1, "".join(rng.choices(chars, k=n)), "s"), (2, "a/b-" * (n // 4), "s"), (3, "9z" * (n // 2), "s")]
+        where = write_documents(spark, tmp_path / str(n), rows)
+        began = time.time()
+        got = {r["doc_id"]: r["spans"] for r in secrets.op8_secrets(spark, where).collect()}
+        took.append(time.time() - began)
+        _, a, b = got[1].split(":")
+        assert int(a) < 200 and n - 200 < int(b) <= n and got[2] == got[3] == ""
+    assert took[1] < 60 and took[1] < 8 * took[0]
+
+
 def test_secrets_equal_brute_force(spark, tmp_path):
     rng = random.Random(9)
     b64 = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
@@ -95,6 +158,8 @@ def test_secrets_equal_brute_force(spark, tmp_path):
         (66, "a" * 40 + b64(30) + "b" * 40, "s"), (67, "123e4567-e89b-42d3-a456-426614174000 EXAMPLE" + b64(40), "s"), (68, b64(3000), "s"), (69, "x" * 1500 + b64(40) + "y1" * 900, "s"),
         (70, "ſecret=abcdefgh12 toKen=abcdefgh12", "s"), (71, hexa(40), "s"), (72, ("token=" + hexa(8) + " ") * 700, "s"), (73, "secret='abcdefgh", "s"), (74, "ABCDEF0123456789ABCDEF0123", "s"),
     ]
+    rows += [(80 + i, t, "s") for i, (t, _) in enumerate(FIXED)]
+    rows += [(2000 + i, "".join(rng.choice(["/", "-", "_", "=", "a/", "Ab", "prod", "eu-west-1", "Service", "name", b64(30), b64(9), hexa(26), "X2", "123", "123e4567-e89b-42d3-a456-426614174000", " "]) for _ in range(rng.randint(2, 12))), "s") for i in range(200)]
     alphabet = ["token", "=", " ", "secret", ":", '"', "AKIA", "A1B2C3D4E5F6", "0a1b2c3d", "zZ9+", "é", "\n", "password", "'"]
     rows += [(100 + i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))), "s") for i in range(150)]
     got = secrets.op8_secrets(spark, write_documents(spark, tmp_path / "t", rows)).collect()
