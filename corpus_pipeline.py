@@ -6,19 +6,10 @@ weights, sharding. Each stage works on all rows that its predecessor kept.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from framestride.llm import host_rules, mixing, phrase_index, sharding, simhash
-from framestride.llm.common import Scratch
-
-
-def is_stored(docs: DataFrame) -> bool:
-    """Whether ``docs`` are rows of files, as they are between stages; a cached or computed table is not."""
-    try:
-        return not docs.is_cached and len(docs.select(docs.metadataColumn("_metadata")).schema) == 1
-    except AnalysisException:
-        return False
+from framestride.llm.common import Scratch, is_stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +29,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for."""
-    return mixing.mix(spark, docs)
+    return mixing.mix(spark, docs, stored=is_stored(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

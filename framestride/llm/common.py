@@ -7,20 +7,24 @@ columns of one name) neither reach the result nor make a reference ambiguous.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framestride.storage import BROADCAST_ROWS, Scratch, shared_dir, small
+
+__all__ = ["BROADCAST_ROWS", "NONWORD", "WS", "WS_CHARS", "Scratch", "guarded", "is_stored", "let", "lower_ascii", "pick", "shared_dir", "small", "table", "with_row_ids"]
+
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 WS = "\\x20\\x09-\\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: What stands between words of the letters-and-digits kind (all of ASCII but 0-9, a-z).
 NONWORD = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 
+#: ``file:///a`` and ``file:/a`` are one path.
+NO_HOST = "^([A-Za-z][A-Za-z0-9+.-]*):///"
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name (the first of equal ones)."""
@@ -57,79 +61,37 @@ def lower_ascii(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("K"), F.lit("ĸ")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="framestride-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-#: Up to so many rows a side is broadcast; above, the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` (narrow rows of a saved table) to be broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
+def is_stored(docs: DataFrame) -> bool:
+    """Whether ``docs`` is one Parquet table just as it is read: then file and place name each row once.
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read back."""
-        self._n += 1
-        where = self.path(name or f"t{self._n}")
-        df.write.option("compression", "zstd").parquet(where)
-        out = self.spark.read.schema(df.schema).parquet(where)
-        out._scratch_path = where
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a saved table that nothing reads any longer."""
-        self.remove(df._scratch_path)
-
-    def clear(self) -> None:
-        """Remove all that was written here, once nothing reads it any longer."""
-        self.remove(self.root)
-
-    def remove(self, where: str) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    Anything computed on top (which may repeat rows), a cached table, several paths and
+    other formats are not.
+    """
+    if docs.is_cached:
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().location().rootPaths().length() == 1 and plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
 
 
 def with_row_ids(docs: DataFrame, scratch: Scratch, stored: bool, *names: str) -> tuple[DataFrame, list[str]]:
     """``docs`` as ``guarded`` gives it, with ``_node``: a number of its own for each row.
 
-    ``stored``: ``docs`` is a Parquet table as read, whose rows keep their file and
-    place; then nothing is written. Otherwise the numbered rows are saved first, so
-    that later reads see the same numbers.
+    ``stored``: ``docs`` is a Parquet table as read (``is_stored``), whose rows keep their
+    file and place; then nothing is written. Otherwise the numbered rows are saved first,
+    so that later reads see the same numbers.
     """
-    if stored:
+    if stored and is_stored(docs):
         place = docs.metadataColumn("_metadata")
-        # one row for each file, which the driver has listed already
-        files = sorted(r[0] for r in docs.select(place["file_path"].alias("f")).distinct().collect())
-        number = docs.sparkSession.createDataFrame(list(enumerate(files)), "_no long, _file string")
+        # the files the driver has listed to plan the scan, one row for each
+        files = sorted({re.sub(NO_HOST, r"\1:/", f) for f in docs.inputFiles()})
+        number = docs.sparkSession.createDataFrame(list(enumerate(files)), "_no long, _file string") if files else docs.sparkSession.createDataFrame([], "_no long, _file string")
         have = docs.columns
         kept = [f"_c{i}" for i in range(len(have))]
         # by position, so no column of the table can be taken for the place
         rows = docs.select("*", place["file_path"], place["row_index"]).toDF(*kept, "_path", "_place")
-        rows = rows.join(F.broadcast(number), F.col("_path") == F.col("_file"), "left")
+        rows = rows.join(F.broadcast(number) if len(files) <= BROADCAST_ROWS else number, F.regexp_replace("_path", NO_HOST, "$1:/") == F.col("_file"), "left")
         node = F.shiftleft(F.coalesce("_no", F.raise_error(F.lit("a file that was not listed"))), 36) + F.col("_place")
         return rows.select(*kept, *[F.col(f"_c{have.index(n)}").alias(f"_{n}") for n in names], node.alias("_node")), kept
     rows, kept = guarded(docs, *names)

@@ -7,10 +7,10 @@ from collections import Counter
 import duckdb
 
 import corpus_pipeline
-from framestride.llm import mixing, sharding
+from framestride.llm import sharding
 from tests.llm.helpers import write_documents
 from tests.llm.test_phrase_index import brute as contaminated
-from tests.llm.test_tables import WORD, counts
+from tests.llm.test_tables import WORD, counts, plain_targets
 
 
 def failed(t):
@@ -68,15 +68,16 @@ def mixed(rows):
     size = Counter()
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
-    want = mixing.targets(list(size.items()))
+    want = plain_targets(size)
     out = []
     for s in size:
         own = sorted((int(hashlib.md5((("" if i is None else str(i)) + " " + (t or "")).encode()).hexdigest()[:12], 16), i, t) for i, t, x in rows if x == s)
         whole = int(want[s] // size[s]) if size[s] else 0
         left, run = want[s] - whole * size[s], 0
         for _, i, t in own:
-            run += len(WORD.findall(t or ""))
-            out += [(i, t, s)] * (whole + (run <= left))
+            n = len(WORD.findall(t or ""))
+            out += [(i, t, s)] * (whole + (run + n <= left or (run <= left and run + n - left < left - run)))
+            run += n
     return out
 
 
@@ -133,3 +134,27 @@ def test_all_but_the_last_stage_keep_the_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).cache()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_repeated_rows_are_numbered_apart(spark, tmp_path):
+    """A plain scan is known by file and place; anything on top of it is numbered anew."""
+    from pyspark.sql import functions as F
+
+    from framestride.llm.common import Scratch, is_stored, with_row_ids
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    twice = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    named = docs.withColumn("_metadata", F.lit("x"))
+    folder = f"{tmp_path}/named"
+    named.write.parquet(folder)
+    back = spark.read.parquet(folder)
+    assert is_stored(docs) and is_stored(back) and not is_stored(twice) and not is_stored(named) and not is_stored(docs.filter("doc_id > 3"))
+    assert not is_stored(spark.read.parquet(folder, folder)) and not is_stored(docs.cache())
+    docs.unpersist()
+    for df in (docs, twice, named, back, spark.read.parquet(folder, folder)):
+        rows, _ = with_row_ids(df, Scratch(spark, "t"), True, "doc_id")
+        assert rows.select("_node").distinct().count() == df.count()
+    once = corpus_pipeline.near_dedup(spark, docs, "").count()
+    assert corpus_pipeline.near_dedup(spark, twice.drop("copy"), "").count() == once
+    assert corpus_pipeline.near_dedup(spark, back, "").count() == once
+    assert corpus_pipeline.decontaminate(spark, back, "/root/testdata/sf0.001").count() == corpus_pipeline.decontaminate(spark, docs, "/root/testdata/sf0.001").count()
