@@ -34,12 +34,21 @@ CONTINUITY, START, BOTH_SIDES, SATURATION = "continuidad", "inicio_atipico", "di
 TAIL, BETWEEN, SCALE, REFRAMING = "cola_transicion_inestable", "entre_frames_anomalos", "cambio_escala_%.3f", "cambio_persistente_de_encuadre"
 
 
+#: Rows before and after a stretch that the whole chain looks at.
+HALO = 12
+
+
 @dataclass(frozen=True)
 class Columns:
-    """Names of the columns that the rules read."""
+    """Names of the columns that the rules read.
+
+    No rule looks further than a few rows, so over ``ordered.stretched`` rows (with ``HALO``)
+    the key is the sequence and the stretch, and ``total`` the length of the sequence.
+    """
 
-    key: str = "video"
+    key: str | list[str] = "video"
     index: str = "idx"
+    total: str | None = None
 
 
 def own_reasons(stripes_limit: Column, vertical_limit: Column, blocks_limit: Column) -> Column:
@@ -94,10 +103,11 @@ def tail_extension(df: DataFrame, c: Columns = Columns()) -> DataFrame:
     w = along(c.key, c.index)
     ahead = w.rowsBetween(0, STABILITY_WINDOW)
     calm = flag(F.col("hs_next") <= STABLE_HS) & flag(F.col("di_next") <= STABLE_INTENSITY)
-    own = df.withColumns({"_calm": calm, "_n": F.count(F.lit(1)).over(W.partitionBy(c.key))})
+    own = df.withColumns({"_calm": calm, "_n": F.col(c.total) if c.total else F.count(F.lit(1)).over(W.partitionBy(*([c.key] if isinstance(c.key, str) else c.key)))})
     near = w.rowsBetween(0, STABILITY_WINDOW - 1)
     stable = ~F.max("anomaly").over(ahead) & F.min("_calm").over(near) & (F.col(c.index) + STABILITY_WINDOW < F.col("_n"))
     own = own.withColumn("_stable", stable)
+    # an anomaly further back than MAX_EXTENSION marks nothing, so what a stretch can't see doesn't matter
     past = w.rowsBetween(W.unboundedPreceding, -1)
     own = own.withColumns({
         "_s": F.max(F.when(F.col("anomaly"), F.col(c.index))).over(past),

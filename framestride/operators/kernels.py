@@ -254,6 +254,8 @@ def map_images(df: DataFrame, fn: Callable[[np.ndarray], dict], schema: str, key
             rows = []
             for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
+                    if i is None:
+                        raise ValueError("not a readable image")
                     data = np.frombuffer(i["data"], dtype=np.uint8).reshape(i["height"], i["width"], i["nChannels"])
                     rows.append({key: k, **fn(to_rgb(data)), "error": None})
                 except Exception as e:

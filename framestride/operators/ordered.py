@@ -48,11 +48,13 @@ def numbered(df: DataFrame, order: list[Column], scratch: Scratch, keys: list[st
     return out.select(*df.columns, (F.col("_fs_before") + F.col("_fs_place") - F.col("_fs_first")).alias(index), *more)
 
 
-def stretched(df: DataFrame, halo: int, size: int = STRETCH, index: str = "idx") -> DataFrame:
-    """Every row once for each stretch of ``size`` rows that needs it: ``_stretch`` and ``_own`` (false for rows of the halo).
+def stretched(df: DataFrame, halo: int, size: int | None = None, index: str = "idx") -> DataFrame:
+    """Every row once for each stretch of ``size`` rows that needs it: ``_stretch`` and ``_mine`` (false for rows of the halo).
 
     Windows by key and ``_stretch`` see the ``halo`` rows before and after the rows that are the stretch's own.
     """
+    size = size or STRETCH
+
     def number(at: Column) -> Column:
         return F.call_function("div", at, F.lit(size).cast("long"))
 
@@ -60,16 +62,16 @@ def stretched(df: DataFrame, halo: int, size: int = STRETCH, index: str = "idx")
     low, high = number(F.greatest(at - halo, F.lit(0).cast("long"))), number(at + halo)
     inner = (low == high) & F.lit(halo < size)
     out = df.withColumn("_stretch", F.explode(F.when(inner, F.array(low)).otherwise(F.sequence(low, high))))
-    return out.withColumn("_own", number(at) == F.col("_stretch"))
+    return out.withColumn("_mine", number(at) == F.col("_stretch"))
 
 
 def own_rows(df: DataFrame) -> DataFrame:
-    return df.filter("_own").drop("_own", "_stretch")
+    return df.filter("_mine").drop("_mine", "_stretch")
 
 
-def running_sum(df: DataFrame, value: str, name: str, key: str, index: str = "idx", size: int = STRETCH) -> DataFrame:
+def running_sum(df: DataFrame, value: str, name: str, key: str, index: str = "idx", size: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` from the key's first row up to this one."""
-    cell = F.call_function("div", F.col(index).cast("long"), F.lit(size).cast("long"))
+    cell = F.call_function("div", F.col(index).cast("long"), F.lit(size or STRETCH).cast("long"))
     own = df.withColumn("_cell", cell)
     within = own.withColumn("_run", F.sum(value).over(W.partitionBy(key, "_cell").orderBy(index)))
     sums = own.groupBy(F.col(key).alias("_key"), F.col("_cell").alias("_c")).agg(F.sum(value).alias("_n"))

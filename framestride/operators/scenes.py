@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from framestride.functions.columns import flag
 from framestride.functions.vectors import bhattacharyya, l2_unit, scaled
-from framestride.operators.sequence import along, greedy_spacing
+from framestride.operators.ordered import numbered, own_rows, running_sum, stretched
+from framestride.operators.sequence import along
+from framestride.operators.spacing import spaced
+from framestride.storage import Scratch
 
 # Weights and limits of cuts, spacing and grouping.
 HS_WEIGHT, INTENSITY_WEIGHT, MIN_SCORE = 0.65, 0.35, 3.5
@@ -36,22 +39,28 @@ def cut_candidates(df: DataFrame, limits: DataFrame | None = None, key: str = "v
     return out.withColumn("candidate", over & (F.col("score") >= MIN_SCORE) & (F.col(index) > 0))
 
 
-def scene_bounds(df: DataFrame, cuts: DataFrame, key: str = "video") -> DataFrame:
-    """One row for each scene between ``cuts`` (``key, cuts, n``), with the places left after trimming inner ends.
+def scene_bounds(lengths: DataFrame, cuts: DataFrame, key: str = "video") -> DataFrame:
+    """One row for each scene between ``cuts`` (``key, cut``), with the places left after trimming inner ends.
 
-    No row of the sequence is needed: bounds follow from cuts and length.
+    ``lengths``: ``key, n``. No row of a sequence is needed: bounds follow from cuts and length.
     """
-    limits = F.concat(F.array(F.lit(0).cast("long")), "cuts", F.array(F.col("n").cast("long")))
-    rows = cuts.select(key, "n", F.posexplode(F.slice(limits, F.lit(1), F.size(limits) - 1)).alias("i", "first_idx"), limits.alias("limits"))
-    past = F.get("limits", F.col("i") + 1)
-    rows = rows.select(key, (F.col("i") + 1).cast("long").alias("scene"), "first_idx", (past - 1).alias("last_idx"), (past - F.col("first_idx")).alias("frames"),
+    begins = lengths.select(key, F.lit(0).cast("long").alias("first_idx")).unionAll(cuts.select(key, F.col("cut").alias("first_idx")))
+    rows = numbered(begins, [F.col("first_idx")], Scratch(lengths.sparkSession, "bounds"), [key], index="_scene")
+    rows = own_rows(stretched(rows, 1, index="_scene").withColumn("_next", F.lead("first_idx").over(along([key, "_stretch"], "_scene"))))
+    rows = rows.join(lengths.select(F.col(key).alias("_key"), "n"), F.col(key).eqNullSafe(F.col("_key")))
+    past = F.coalesce("_next", "n")
+    rows = rows.select(key, "n", (F.col("_scene") + 1).cast("long").alias("scene"), "first_idx", (past - 1).alias("last_idx"), (past - F.col("first_idx")).alias("frames"),
                        F.when(F.col("first_idx") > 0, F.col("first_idx") + TRIM).otherwise(F.col("first_idx")).alias("valid_first"),
                        F.when(past < F.col("n"), past - TRIM - 1).otherwise(past - 1).alias("valid_last"))
     valid = F.greatest(F.lit(0).cast("long"), F.col("valid_last") - F.col("valid_first") + 1)
-    return rows.select("*", valid.alias("valid_frames"), F.greatest(F.lit(0).cast("long"), valid - 1).alias("pairs"))
+    return rows.drop("n").select("*", valid.alias("valid_frames"), F.greatest(F.lit(0).cast("long"), valid - 1).alias("pairs"))
 
 
-def reframe_candidates(df: DataFrame, histogram: str, broken: str, local: Column, distance: float = REFRAMING_DISTANCE, key: str = "video", index: str = "idx") -> DataFrame:
+#: Rows before and after a stretch that ``reframe_candidates`` looks at.
+REFRAME_HALO = REFERENCE_FRAMES + PERSISTENCE
+
+
+def reframe_candidates(df: DataFrame, histogram: str, broken: str, local: Column, distance: float = REFRAMING_DISTANCE, key: str | list[str] = "video", index: str = "idx", total: str | None = None) -> DataFrame:
     """Adds ``candidate``: the mean histogram of the frames before is far from this and the next frames, without a jump here.
 
     The reference never crosses the beginning of its scene, since cuts are further
@@ -61,7 +70,7 @@ def reframe_candidates(df: DataFrame, histogram: str, broken: str, local: Column
     before = [F.lag(histogram, k).over(w) for k in range(REFERENCE_FRAMES, 0, -1)]
     ahead = [F.lead(histogram, k).over(w) for k in range(1, PERSISTENCE)]
     near = df.withColumns({f"_b{i}": c for i, c in enumerate(before)} | {f"_a{i}": c for i, c in enumerate(ahead)} | {
-        "_clear": ~F.max(broken).over(w.rowsBetween(0, PERSISTENCE - 1)), "_left": F.count(F.lit(1)).over(W.partitionBy(key)) - F.col(index)})
+        "_clear": ~F.max(broken).over(w.rowsBetween(0, PERSISTENCE - 1)), "_left": (F.col(total) if total else F.count(F.lit(1)).over(W.partitionBy(*([key] if isinstance(key, str) else key)))) - F.col(index)})
     mean = F.transform(F.arrays_zip(*[F.col(f"_b{i}") for i in range(REFERENCE_FRAMES)]), lambda z: sum((z[f"_b{i}"] for i in range(1, REFERENCE_FRAMES)), z["_b0"]) / REFERENCE_FRAMES)
     near = near.withColumn("_mean", F.when(F.col("_b0").isNotNull(), mean))
     far = [F.round(bhattacharyya("_mean", c), 9) >= distance for c in (histogram, *[f"_a{i}" for i in range(PERSISTENCE - 1)])]
@@ -71,9 +80,10 @@ def reframe_candidates(df: DataFrame, histogram: str, broken: str, local: Column
 
 def reframe_cuts(df: DataFrame, candidate: str, broken: str, key: str = "video", index: str = "idx") -> DataFrame:
     """``key, cut`` of candidates at least ``MIN_BETWEEN_CUTS`` after the beginning of their unbroken run and the last cut in it."""
-    runs = df.withColumn("_run", F.sum(F.col(broken).cast("int")).over(along(key, index))).filter(~F.col(broken))
-    own = runs.groupBy(key, "_run").agg(F.min(index).alias("_first"), F.array_sort(F.collect_list(F.when(F.col(candidate), F.col(index)))).alias("_c"))
-    return own.select(key, F.explode(greedy_spacing(F.col("_c"), MIN_BETWEEN_CUTS, F.col("_first"))).alias("cut"))
+    runs = running_sum(df.select(key, index, F.col(candidate).alias("_hit"), F.col(broken).cast("int").alias("_bad")), "_bad", "_run", key, index).filter("_bad = 0")
+    first = runs.groupBy(F.col(key).alias("_key"), F.col("_run").alias("_r")).agg(F.min(index).alias("_first"), F.max("_hit").alias("_any")).filter("_any")
+    found = runs.filter("_hit").join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_run") == F.col("_r")))
+    return spaced(found, [key, "_run"], MIN_BETWEEN_CUTS, F.col("_first"), index).select(key, "cut")
 
 
 def mean_descriptor(df: DataFrame, keys: list[str], colour: str, grey: str) -> DataFrame:

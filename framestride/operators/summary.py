@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framestride.functions.columns import finite
+from framestride.operators.selection import long_form, quantile_rows
+from framestride.storage import Scratch
 
 
 def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -17,10 +19,13 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum of each column."""
-    v = F.col("value")
-    return unpivoted(df, columns).groupBy("metric").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.min(v).alias("low"), F.percentile(v, F.lit(0.25)).alias("q25"),
-        F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("high"))
+    scratch = Scratch(df.sparkSession, "describe")
+    values = scratch.save(long_form(df, [], {c: F.col(c) for c in columns}))
+    v = F.col("v")
+    moments = values.groupBy("metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high"))
+    rows = quantile_rows(values, 0, {"q25": 0.25, "median": 0.5, "q75": 0.75}, scratch)
+    quarters = rows.groupBy(F.col("metric").alias("_metric")).agg(*[F.max(F.when(F.col("point") == p, F.col("value"))).alias(p) for p in ("q25", "median", "q75")])
+    return moments.join(quarters, F.col("metric") == F.col("_metric")).select("metric", "n", "mean", "deviation", "low", "q25", "median", "q75", "high")
 
 
 def stage_means(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,16 +48,20 @@ def before_after(df: DataFrame, before: str, after: str, columns: dict[str, tupl
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """``bin, n`` of equal bins; the last one holds its upper bound too, values outside are left out."""
+    """``bin, n`` of equal bins; the last one holds its upper bound too. Values below are bin -1, values above are bin ``bins``; only missing ones are left out."""
     v = F.col(value)
-    at = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
-    return df.filter(v.between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    inside = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1))
+    at = F.when(v < low, -1).when(v > high, bins).otherwise(inside).cast("long")
+    return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def normal_overlay(df: DataFrame, value: str, points: int = 300, percentile: float = 0.995) -> DataFrame:
     """``i, x, density``: the normal curve with the values' mean and deviation, over a symmetric range."""
-    s = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.percentile(F.abs(value), F.lit(percentile)).alias("lim"))
-    s = s.withColumn("lim", F.greatest("lim", F.lit(2.220446049250313e-16)))
+    scratch = Scratch(df.sparkSession, "overlay")
+    sizes = scratch.save(long_form(df, [], {value: F.abs(F.col(value))}))
+    limit = quantile_rows(sizes, 0, {"limit": percentile}, scratch).select(F.greatest("value", F.lit(2.220446049250313e-16)).alias("lim"))
+    # both sides are one row
+    s = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).join(limit, F.lit(True))
     grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     x = -F.col("lim") + F.col("i") * (2 * F.col("lim") / (points - 1))
     z = (F.col("x") - F.col("m")) / F.col("s")

@@ -46,7 +46,7 @@ def frame_index_parse(spark, sf_dir):
 def frame_name(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    s = sequences(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("video")))
+    s = sequences(spark, sf_dir).withColumn("n", F.col("_len"))
     return s.select("video", "idx", cols.frame_name("idx", "n").alias("name"))
 
 

@@ -10,6 +10,7 @@ from framestride.functions.vectors import bhattacharyya as bhattacharyya_distanc
 from framestride.functions.vectors import mean_abs_difference
 from framestride.operators import masks, pixels, summary
 from framestride.operators import sequence as seq
+from framestride.operators.ordered import own_rows, stretched
 from framestride.plans.registry import query
 from framestride.plans.scene_queries import BHATT, HIST, histograms
 from framestride.plans.sequence_queries import r6
@@ -112,13 +113,13 @@ def hist_l1(spark, sf_dir):
 
 @query(f"{WITH}{HIST}, l AS (SELECT frame, video, idx, h, lag(h) OVER (PARTITION BY video ORDER BY idx) AS p FROM hst) SELECT video, idx, round({BHATT.format(p='p', q='h')}, 6) AS distance FROM l WHERE p IS NOT NULL")
 def bhattacharyya(spark, sf_dir):
-    h = histograms(spark, sf_dir).withColumn("p", F.lag("h").over(seq.along())).filter("p IS NOT NULL")
+    h = own_rows(stretched(histograms(spark, sf_dir), 1).withColumn("p", F.lag("h").over(seq.along(tables.CELL)))).filter("p IS NOT NULL")
     return h.select("video", "idx", F.round(bhattacharyya_distance("p", "h"), 6).alias("distance"))
 
 
 @query(f"{WITH}{GRID}, l AS (SELECT video, idx, px, lag(px) OVER (PARTITION BY video ORDER BY idx) AS p FROM grid) SELECT video, idx, round(list_sum(list_transform(range(1, 65), lambda i: abs(px[i] - p[i]))) / 64 / 255, 6) AS difference FROM l WHERE p IS NOT NULL")
 def mean_abs_diff(spark, sf_dir):
-    g = grids(spark, sf_dir).withColumn("p", F.lag("px").over(seq.along())).filter("p IS NOT NULL")
+    g = own_rows(stretched(grids(spark, sf_dir), 1).withColumn("p", F.lag("px").over(seq.along(tables.CELL)))).filter("p IS NOT NULL")
     return g.select("video", "idx", F.round(mean_abs_difference("px", "p") / 255, 6).alias("difference"))
 
 
@@ -245,7 +246,7 @@ def before_after(spark, sf_dir):
     return out.select("stage", "frames", *[F.round(c, 4).alias(c) for c in ("contrast", "rms", "autocorrelation")])
 
 
-@query("SELECT least(floor((value - 0) / ((500.0::DOUBLE - 0) / 40)), 39)::BIGINT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1")
+@query("SELECT CASE WHEN value < 0 THEN -1 WHEN value > 500 THEN 40 ELSE least(floor((value - 0) / ((500.0::DOUBLE - 0) / 40)), 39)::BIGINT END AS bin, count(*) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1")
 def hist_bins(spark, sf_dir):
     return summary.histogram(tables.table(spark, sf_dir, "events"), "value", 0.0, 500.0, 40)
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from framestride.functions.vectors import bhattacharyya, cosine_distance, l1_unit
 from framestride.operators import relational, robust, scenes
 from framestride.operators import sequence as seq
+from framestride.operators.ordered import own_rows, stretched
 from framestride.plans.registry import query
 from framestride.plans.sequence_queries import CLASSIFIED, CUT_FLOORS, CUT_LIMITS, changes, r6, states
-from framestride.sources.tables import CHG, GRID, SEQ, grids, sequences, table
+from framestride.sources.tables import CELL, CHG, GRID, SEQ, grids, sequences, table
 
 WITH, RECURSIVE = "WITH ", "WITH RECURSIVE "
 
@@ -43,13 +44,13 @@ CUTS = SEQ + """, num AS (SELECT *, count(*) OVER (PARTITION BY video) AS n FROM
 g AS (SELECT video, min(idx) AS cut FROM cnd GROUP BY video UNION ALL SELECT g.video, min(c.idx) AS cut FROM g JOIN cnd c ON c.video = g.video AND c.idx >= g.cut + 8 GROUP BY g.video)"""
 
 
-def cuts(spark, sf_dir) -> DataFrame:
-    return seq.spaced_cuts(sequences(spark, sf_dir).withColumn("_c", F.col("v") >= 110), "_c")
+def cuts(rows: DataFrame) -> DataFrame:
+    return seq.spaced_cuts(rows.withColumn("_c", F.col("v") >= 110), "_c", "_len")
 
 
 @query(f"{RECURSIVE}{CUTS} SELECT video, cut FROM g")
 def greedy_spacing(spark, sf_dir):
-    return cuts(spark, sf_dir).select("video", F.explode("cuts").alias("cut"))
+    return cuts(sequences(spark, sf_dir))
 
 
 BOUNDS = CUTS + """, lim AS (SELECT video, 0::BIGINT AS first_idx, max(n) AS n FROM num GROUP BY video UNION ALL SELECT g.video, cut, m.n FROM g JOIN (SELECT video, max(n) AS n FROM num GROUP BY video) m USING (video)),
@@ -59,7 +60,8 @@ bnd AS (SELECT *, greatest(0, valid_last - valid_first + 1) AS valid_frames, gre
 
 
 def bounds(spark, sf_dir) -> DataFrame:
-    return scenes.scene_bounds(sequences(spark, sf_dir), cuts(spark, sf_dir))
+    rows = sequences(spark, sf_dir)
+    return scenes.scene_bounds(rows.groupBy("video").agg(F.max("_len").alias("n")), cuts(rows))
 
 
 @query(f"{RECURSIVE}{BOUNDS} SELECT video, scene, first_idx, last_idx, frames, valid_first, valid_last, valid_frames, pairs FROM bnd")
@@ -105,7 +107,7 @@ HIST = GRID + ", hst AS (SELECT frame, video, idx, list_transform(px, lambda p:
 
 def histograms(spark, sf_dir) -> DataFrame:
     g = grids(spark, sf_dir)
-    return g.select("frame", "video", "idx", l1_unit("px").alias("h"), l1_unit(F.transform("px", lambda p: 255 - p)).alias("g"))
+    return g.select("frame", "video", "idx", "_len", l1_unit("px").alias("h"), l1_unit(F.transform("px", lambda p: 255 - p)).alias("g"))
 
 
 BHATT = "sqrt(greatest(0, 1 - list_sum(list_transform(range(1, 65), lambda i: sqrt({p}[i] * {q}[i]))) / sqrt(list_sum({p}) * list_sum({q}))))"
@@ -119,9 +121,10 @@ c AS (SELECT * FROM ct WHERE cand), g AS (SELECT video, run, min(idx) AS cut FRO
 SELECT video, cut FROM g""")
 def reframe_cut(spark, sf_dir):
     h = histograms(spark, sf_dir).withColumn("broken", F.col("frame") % 29 == 0)
-    h = h.withColumn("_prev", F.lag("h").over(seq.along()))
-    found = scenes.reframe_candidates(h, "h", "broken", F.round(bhattacharyya("_prev", "h"), 9) < 0.2, distance=0.075)
-    return scenes.reframe_cuts(found, "candidate", "broken")
+    h = stretched(h, scenes.REFRAME_HALO)
+    h = h.withColumn("_prev", F.lag("h").over(seq.along(CELL)))
+    found = scenes.reframe_candidates(h, "h", "broken", F.round(bhattacharyya("_prev", "h"), 9) < 0.2, distance=0.075, key=CELL, total="_len")
+    return scenes.reframe_cuts(own_rows(found), "candidate", "broken")
 
 
 DESC = HIST + """, bins AS (SELECT video, i, avg(h[i]) AS mh, avg(g[i]) AS mg FROM (SELECT video, h, g, unnest(range(1, 65)) AS i FROM hst) GROUP BY video, i),

@@ -10,8 +10,10 @@ from framestride.functions.columns import flag, natural_key
 from framestride.operators import classify as rules
 from framestride.operators import robust
 from framestride.operators import sequence as seq
+from framestride.operators.ordered import own_rows, stretched
 from framestride.plans.registry import query
-from framestride.sources.tables import CHG, LOOKS, SEQ, sequences, table, with_changes, with_looks
+from framestride.sources.tables import CELL, CHG, LOOKS, SEQ, sequences, table, with_changes, with_looks
+from framestride.storage import Scratch
 
 WITH = "WITH "
 
@@ -20,8 +22,10 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_changes(sequences(spark, sf_dir))
+def changes(spark: SparkSession, sf_dir: str, halo: int = 0) -> DataFrame:
+    """Changes from frame to frame, in stretches; ``halo`` keeps so many rows around each, with correct changes."""
+    rows = with_changes(stretched(sequences(spark, sf_dir), halo + 1), CELL)
+    return rows if halo else own_rows(rows)
 
 
 # ------------------------------------------------------------------ neighbours
@@ -40,17 +44,18 @@ def natural_index(spark, sf_dir):
 @query(f"{WITH}{CHG} SELECT video, idx, lead(hs) OVER w AS hs_next, lead(di) OVER w AS di_next, lead(sat) OVER w AS sat_next, lead(v) OVER w AS v_next, lead(k) OVER w AS k_next FROM chg WINDOW w AS (PARTITION BY video ORDER BY idx)")
 def lead_metrics(spark, sf_dir):
     cols = ["hs", "di", "sat", "v", "k"]
-    return seq.with_next(changes(spark, sf_dir), cols).select("video", "idx", *[f"{c}_next" for c in cols])
+    return own_rows(seq.with_next(changes(spark, sf_dir, 1), cols, key=CELL)).select("video", "idx", *[f"{c}_next" for c in cols])
 
 
 @query(f"{WITH}{SEQ} SELECT video, idx, round(abs(v - lag(v) OVER w), 6) AS dv, round(abs(k - lag(k) OVER w), 6) AS dk FROM seq WINDOW w AS (PARTITION BY video ORDER BY idx)")
 def lag_diff(spark, sf_dir):
-    return sequences(spark, sf_dir).select("video", "idx", F.round(seq.change("v"), 6).alias("dv"), F.round(seq.change("k"), 6).alias("dk"))
+    rows = stretched(sequences(spark, sf_dir), 1)
+    return own_rows(rows.select("video", "idx", F.round(seq.change("v", CELL), 6).alias("dv"), F.round(seq.change("k", CELL), 6).alias("dk"), "_mine", "_stretch"))
 
 
 @query(f"{WITH}{SEQ} SELECT * FROM (SELECT video, idx, frame, lead(frame) OVER w AS frame_target, v, lead(v) OVER w AS v_target FROM seqf WINDOW w AS (PARTITION BY video ORDER BY idx)) WHERE frame_target IS NOT NULL")
 def consecutive_pairs(spark, sf_dir):
-    return seq.pairs(sequences(spark, sf_dir), ["frame", "v"]).select("video", "idx", "frame", "frame_target", "v", "v_target")
+    return own_rows(seq.pairs(stretched(sequences(spark, sf_dir), 1), ["frame", "v"], CELL)).select("video", "idx", "frame", "frame_target", "v", "v_target")
 
 
 # ------------------------------------------------------------------ thresholds
@@ -105,7 +110,7 @@ spl AS (SELECT *, CASE WHEN NOT valid THEN 'excluida' WHEN sum(valid::INT) OVER
 def excluded_pairs(spark, sf_dir) -> DataFrame:
     """Pairs with strict exclusion by robust thresholds."""
     pairs = changes(spark, sf_dir).filter("idx > 0").select("video", (F.col("idx") - 1).alias("idx"), F.round("hs", 9).alias("hs"), F.round("di", 9).alias("di"))
-    out = robust.with_pair_limits(pairs, ["video"], ["hs", "di"]).withColumns({"excluded_transition": flag(F.col("hs") > F.round("hs_limit", 9)), "excluded_motion": flag(F.col("di") > F.round("di_limit", 9))})
+    out = robust.with_pair_limits(Scratch(spark, "pairs").save(pairs), ["video"], ["hs", "di"]).withColumns({"excluded_transition": flag(F.col("hs") > F.round("hs_limit", 9)), "excluded_motion": flag(F.col("di") > F.round("di_limit", 9))})
     return out.withColumn("valid", ~(F.col("excluded_transition") | F.col("excluded_motion"))).drop("hs_limit", "di_limit")
 
 
@@ -180,16 +185,19 @@ CLASSIFIED = ZOOM + _gap("s6", "s7", 6)
 
 def states(spark, sf_dir, upto: int) -> DataFrame:
     """The chain up to a rule: own, first frame, two sides, tail, gap, zoom, gap."""
-    looks = robust.with_floored_limits(with_looks(changes(spark, sf_dir)), ["video"], FLOORS)
+    # what the rules read is saved in stretches: thresholds and rules both start from it
+    looks = Scratch(spark, "looks").save(with_looks(changes(spark, sf_dir, rules.HALO)))
+    looks = robust.beside(looks, robust.floored_thresholds(looks.filter("_mine"), ["video"], FLOORS), ["video"])
+    c = rules.Columns(CELL, total="_len")
     if upto == 7:
-        return rules.classify(looks)
-    out = looks.withColumns({f"{c}_next": F.lead(c).over(seq.along()) for c in ("hs", "di", "sat")})
-    lim = {c: F.col(f"{c}_limit") for c in FLOORS}
+        return own_rows(rules.classify(looks, c=c))
+    out = looks.withColumns({f"{x}_next": F.lead(x).over(seq.along(CELL)) for x in ("hs", "di", "sat")})
+    lim = {x: F.col(f"{x}_limit") for x in FLOORS}
     out = rules.start(out, rules.own_reasons(lim["stripes_h"], lim["stripes_v"], lim["blocks"]))
-    steps = [lambda d: rules.first_frame(d, lim["hs"], lim["di"]), lambda d: rules.two_sided(d, lim["hs"], lim["di"], lim["sat"]), rules.tail_extension, rules.gap_fill, rules.zoom]
+    steps = [lambda d: rules.first_frame(d, lim["hs"], lim["di"], c), lambda d: rules.two_sided(d, lim["hs"], lim["di"], lim["sat"], c), lambda d: rules.tail_extension(d, c), lambda d: rules.gap_fill(d, c), lambda d: rules.zoom(d, c)]
     for step in steps[: upto - 1]:
         out = step(out)
-    return out
+    return own_rows(out)
 
 
 def _state_sql(text: str, name: str, i: int) -> str:
@@ -267,8 +275,7 @@ NORM = BUCKETS + ", nrm AS (SELECT *, " + ", ".join(
 
 
 def normed(spark, sf_dir) -> DataFrame:
-    out = seq.time_buckets(changes(spark, sf_dir))
-    return out.withColumns({f"n_{c}": seq.minmax(c, ["video", "bucket"]) for c in ("v", "k", "hs")})
+    return seq.with_minmax(seq.time_buckets(changes(spark, sf_dir)), ["v", "k", "hs"], ["video", "bucket"])
 
 
 @query(f"{WITH}{BUCKETS} SELECT video, bucket, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM bkt GROUP BY ALL")

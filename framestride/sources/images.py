@@ -33,7 +33,8 @@ def find_video(registry: DataFrame, video_id: str, root: str) -> str:
     """The path of a video, relative ones from ``root``; unknown ids are an error that lists the known ones."""
     rows = registry.filter(F.col("video_id") == video_id).take(1)
     if not rows:
-        known = ", ".join(sorted(r["video_id"] for r in registry.select("video_id").limit(50).collect()))
+        # the registry is one JSON object, which a reader holds whole anyway
+        known = ", ".join(r["video_id"] for r in registry.select("video_id").orderBy("video_id").collect())
         raise KeyError(f"unknown video {video_id}; known are: {known}")
     path = rows[0]["path"] or rows[0]["file"]
     return path if "://" in path or os.path.isabs(path) else f"{root.rstrip('/')}/{path}"
@@ -46,9 +47,10 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """``frame, image``: Spark's image struct (rows of BGR bytes) of each file; unreadable files are left out."""
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    return images.select(base_name("image.origin").alias("frame"), "image")
+    """``frame, image, error``: Spark's image struct (rows of BGR bytes) of each file; an unreadable one has no image but an error."""
+    images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
+    bad = F.col("image.nChannels") < 1
+    return images.select(base_name("image.origin").alias("frame"), F.when(~bad, F.col("image")).alias("image"), F.when(bad, F.lit("not a readable image")).alias("error"))
 
 
 #: From the bytes of a video to (index, RGB image) of its frames.

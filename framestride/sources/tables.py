@@ -8,28 +8,33 @@ clean-up.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framestride.functions.columns import uint8
+from framestride.operators.ordered import numbered
+from framestride.operators.sequence import along
+from framestride.storage import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Windows over stretches of a video.
+CELL = ["video", "_stretch"]
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``video, idx, frame, v, k``."""
-    # named before it is numbered, so that later windows over the video find its rows together
+    """``video, idx, frame, v, k`` and ``_len``, the number of the video's frames; numbered over many tasks and saved."""
     e = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "video", "value": "v"})
-    w = W.partitionBy("video").orderBy("ts", "event_id")
-    out = e.select("video", (F.row_number().over(w) - 1).cast("long").alias("idx"), "v", F.regexp_extract("props", r"(\d+)", 1).try_cast("double").alias("k"))
+    own = e.select("video", "ts", "event_id", "v", F.regexp_extract("props", r"(\d+)", 1).try_cast("double").alias("k"))
+    out = numbered(own, [F.col("ts"), F.col("event_id")], Scratch(spark, "sequences"), ["video"], total="_len").drop("ts", "event_id")
     return out.withColumn("frame", F.concat(F.lit("frame_"), F.lpad(F.col("idx").cast("string"), 7, "0"), F.lit(".png")))
 
 
-def with_changes(seq: DataFrame) -> DataFrame:
+def with_changes(seq: DataFrame, key: str | list[str] = "video") -> DataFrame:
     """Adds ``hs, di, sat``: changes from the frame before."""
-    w = W.partitionBy("video").orderBy("idx")
+    w = along(key)
     dv, dk = F.abs(F.col("v") - F.lag("v").over(w)), F.abs(F.col("k") - F.lag("k").over(w))
     return seq.withColumns({"hs": dv / 300, "di": dk / 400, "sat": dk / 100})
 
@@ -47,7 +52,7 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     px = F.transform("embedding", lambda x: uint8((x.cast("double") + 0.5) * 255))
     own = e.select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("video"), px.alias("px"))
-    return own.select("frame", "video", (F.row_number().over(W.partitionBy("video").orderBy("frame")) - 1).cast("long").alias("idx"), "px")
+    return numbered(own, [F.col("frame")], Scratch(spark, "grids"), ["video"], total="_len").select("frame", "video", "idx", "px", "_len")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

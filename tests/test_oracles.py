@@ -6,6 +6,8 @@ import os
 import duckdb
 import pytest
 
+from framestride.operators import ordered as across
+from framestride.operators import spacing
 from framestride.plans.catalogue import ORACLES, QUERIES
 from tests.conftest import TABLES
 
@@ -43,6 +45,14 @@ def test_rows_equal_the_sql(spark, duck, sf_dir, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
+@pytest.mark.parametrize("name", ["frame_class", "scene_islands", "systematic_split", "lead_metrics", "reframe_cut", "greedy_spacing", "scene_bounds"])
+def test_rows_stay_the_same_over_many_stretches(spark, duck, sf_dir, name, monkeypatch):
+    """One video over many tasks: stretches of a few rows."""
+    monkeypatch.setattr(across, "STRETCH", 17)
+    monkeypatch.setattr(spacing, "BLOCK", 19)
+    test_rows_equal_the_sql(spark, duck, sf_dir, name)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

@@ -34,7 +34,7 @@ def test_neighbours_across_stretches(spark, rows, size, halo):
     wide, far = W.partitionBy("video").orderBy("idx"), W.partitionBy("video", "_stretch").orderBy("idx")
     cols = lambda w: [F.lag("v", 1).over(w).alias("a"), F.lead("v", 2).over(w).alias("b"), F.max("v").over(w.rowsBetween(-2, 2)).alias("c")]
     want = seq.select("video", "idx", *cols(wide)).collect()
-    got = ordered.own_rows(ordered.stretched(seq, halo, size).select("video", "idx", *cols(far), "_own", "_stretch")).collect()
+    got = ordered.own_rows(ordered.stretched(seq, halo, size).select("video", "idx", *cols(far), "_mine", "_stretch")).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     run = ordered.running_sum(seq, "v", "s", "video", size=size).select("video", "idx", "s").collect()
     assert sorted(map(repr, run)) == sorted(map(repr, seq.select("video", "idx", F.sum("v").over(wide).alias("s")).collect()))

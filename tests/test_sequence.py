@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framestride.functions import columns, vectors
-from framestride.operators import classify, relational, robust, scenes, summary
+from framestride.operators import classify, relational, robust, scenes, spacing, summary
 from framestride.operators import sequence as seq
 
 
@@ -77,16 +77,37 @@ def spacing_loop(cands, n, edge=8, least=8):
     return out
 
 
-def test_greedy_spacing_equals_the_loop(spark):
+def test_greedy_spacing_equals_the_loop(spark, monkeypatch):
     rng = random.Random(1)
     rows, want = [], {}
     for v in range(80):
         n = rng.randint(1, 120)
         flags = [rng.random() < 0.2 for _ in range(n)]
         want[str(v)] = spacing_loop([i for i, f in enumerate(flags) if f], n)
-        rows += [(str(v), i, flags[i]) for i in range(n)]
-    got = {r["video"]: r["cuts"] for r in seq.spaced_cuts(series(spark, rows, "video string, idx long, c boolean"), "c").collect()}
-    assert got == want
+        rows += [(str(v), i, flags[i], n) for i in range(n)]
+    df = series(spark, rows, "video string, idx long, c boolean, n int")
+    for block in (8, 13, 1 << 16):
+        monkeypatch.setattr(spacing, "BLOCK", block)
+        got = {v: [] for v in want}
+        for r in seq.spaced_cuts(df, "c", "n").orderBy("cut").collect():
+            got[r["video"]].append(r["cut"])
+        assert got == want
+
+
+@pytest.mark.parametrize("share", [0.01, 0.3, 1.0])
+def test_spacing_of_one_long_sequence_over_many_blocks(spark, share):
+    rng = random.Random(7)
+    places = [i for i in range(60_000) if rng.random() < share]
+    want, last = [], 17
+    for p in places:
+        if p - last >= 12:
+            want.append(p)
+            last = p
+    df = spark.createDataFrame([(p,) for p in places], "idx long").repartition(8)
+    got = spacing.spaced(df, [], 12, start=17, block=512)
+    assert [r["cut"] for r in got.orderBy("cut").collect()] == want
+    keyed = spacing.spaced(df.withColumn("k", F.lit(None).cast("int")), ["k"], 12, start=17, block=100)
+    assert [r["cut"] for r in keyed.orderBy("cut").collect()] == want
 
 
 def reframe_loop(bad, hists, distance, spread=12, ref=5, ahead=3):
@@ -280,8 +301,8 @@ def test_describe_equals_pandas(spark):
 
 
 def test_scene_bounds_trim_inner_ends(spark):
-    cuts = series(spark, [("v", [10, 13], 30), ("w", [], 5)], "video string, cuts array<long>, n long")
-    rows = {(r["video"], r["scene"]): r for r in scenes.scene_bounds(None, cuts).collect()}
+    lengths, cuts = series(spark, [("v", 30), ("w", 5)], "video string, n long"), series(spark, [("v", 10), ("v", 13)], "video string, cut long")
+    rows = {(r["video"], r["scene"]): r for r in scenes.scene_bounds(lengths, cuts).collect()}
     assert [(r["valid_first"], r["valid_last"], r["valid_frames"], r["pairs"]) for r in (rows["v", 1], rows["v", 2], rows["v", 3], rows["w", 1])] == [(0, 7, 8, 7), (12, 10, 0, 0), (15, 29, 15, 14), (0, 4, 5, 4)]
 
 
