@@ -106,104 +106,189 @@ def group_weights(scenes: DataFrame, group: str, scene: str, pairs: str, frames:
     return out.withColumn("weight", F.greatest("pairs", "valid_frames"))
 
 
-def average_linkage(names: list, distance: np.ndarray, cut: float = GROUP_DISTANCE) -> dict:
-    """Agglomerative groups with the mean distance between members under ``cut``; numbered in order of first member.
+def average_linkage(x: np.ndarray, cut: float = GROUP_DISTANCE) -> np.ndarray:
+    """Group numbers, from 1 in the order of first members, of rows by average linkage of their cosine distances under ``cut``.
 
-    For the scenes of one video: the matrix is squared in their number.
+    Two groups only ever join over a pair within the cut, so the rows fall apart first
+    into components of such pairs, found without keeping distances; then each component's
+    matrix is joined along chains of nearest neighbours. Mean distances never shrink by
+    joining others, so a pair of mutual neighbours beyond the cut is final.
     """
-    n = len(names)
-    if not np.isfinite(distance).all():
-        raise ValueError("distances must be finite")
-    d, size, own = distance.astype(float).copy(), np.ones(n), {i: [i] for i in range(n)}
+    if not np.isfinite(x).all():
+        raise ValueError("descriptors must be finite")
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    if not size.all():
+        raise ValueError("a descriptor of zeros has no direction")
+    unit = x / size
+    group, count = np.zeros(len(x), dtype=np.int64), 0
+    free = np.ones(len(x), dtype=bool)
+    for first in range(len(x)):
+        if free[first]:
+            free[first] = False
+            members, at = [first], 0
+            while at < len(members):
+                near = np.flatnonzero(free & (1 - unit @ unit[members[at]] <= cut))
+                free[near] = False
+                members += near.tolist()
+                at += 1
+            rows = np.sort(members)
+            for own in _chains(1 - unit[rows] @ unit[rows].T, cut):
+                count += 1
+                group[rows[own]] = count
+    # numbered by first member
+    _, begin, back = np.unique(group, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(begin))[back] + 1
+
+
+def _chains(d: np.ndarray, cut: float) -> list[list[int]]:
+    """Members of each group of one component, by nearest-neighbour chains over its distances (changed in place)."""
+    n = len(d)
     np.fill_diagonal(d, np.inf)
-    while len(own) > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        own[i] += own.pop(j)
-    order = sorted(own.values(), key=min)
-    return {names[m]: g for g, members in enumerate(order, 1) for m in members}
-
-
-def greedy_alloc(groups: list[tuple], shares: dict[str, float] = SPLITS) -> dict:
-    """Groups (name, weight) by falling weight: one to each split first, then to the split filled least for its share."""
-    total = sum(w for _, w in groups)
-    filled, out = dict.fromkeys(shares, 0.0), {}
-    for i, (name, weight) in enumerate(sorted(groups, key=lambda g: (-g[1], g[0]))):
-        split = list(shares)[i] if i < len(shares) else min(shares, key=lambda s: (filled[s] + weight) / max(total * shares[s], 1e-12))
-        out[name] = split
-        filled[split] += weight
+    weight, own, live, out = np.ones(n), {i: [i] for i in range(n)}, set(range(n)), []
+    chain: list[int] = []
+
+    def close(i: int) -> None:
+        d[i], d[:, i] = np.inf, np.inf
+        live.discard(i)
+
+    while live:
+        if not chain:
+            chain.append(min(live))
+        tip = chain[-1]
+        to = int(np.argmin(d[tip]))
+        if len(chain) > 1 and d[tip, chain[-2]] <= d[tip, to]:
+            to = chain[-2]
+        if d[tip, to] > cut:
+            # nothing is within reach, now or later
+            out.append(own[tip])
+            close(tip)
+            chain.pop()
+        elif len(chain) > 1 and to == chain[-2]:
+            mean = (weight[tip] * d[tip] + weight[to] * d[to]) / (weight[tip] + weight[to])
+            weight[to] += weight[tip]
+            own[to] += own[tip]
+            close(tip)
+            mean[[tip, to]] = np.inf
+            mean[~np.isfinite(d[to])] = np.inf
+            d[to], d[:, to] = mean, mean
+            chain[-2:] = []
+        else:
+            chain.append(to)
     return out
 
 
-def allocation_error(filled: np.ndarray, target: np.ndarray) -> float:
-    """Squared relative errors, and 100 for each empty split."""
-    return float((((filled - target) / np.maximum(target, 1.0)) ** 2).sum() + 100.0 * (filled == 0).sum())
-
-
-def _restart(weights: np.ndarray, target: np.ndarray, order: np.ndarray) -> tuple[float, np.ndarray]:
-    """Place groups in an order where the error is least, then move and swap while that helps."""
-    k, n = len(target), len(weights)
-    where, filled = np.full(n, -1), np.zeros(k)
-
-    def cost(split: int, change: np.ndarray) -> float:
-        return allocation_error(filled + change, target)
-
-    unit = np.eye(k)
-    for at, g in enumerate(order):
-        empty = np.flatnonzero(filled == 0)
-        choice = empty if len(empty) and n - at <= len(empty) else np.arange(k)
-        errors = [cost(s, weights[g] * unit[s]) - 1e-9 * (target[s] - filled[s]) for s in choice]
-        where[g] = choice[int(np.argmin(errors))]
-        filled[where[g]] += weights[g]
-    now, better = allocation_error(filled, target), True
-    while better:
-        better = False
-        for g in range(n):
-            for s in range(k):
-                if s != where[g] and (where == where[g]).sum() > 1:
-                    change = weights[g] * (unit[s] - unit[where[g]])
-                    if (new := cost(s, change)) + 1e-12 < now:
-                        filled, now, better = filled + change, new, True
-                        where[g] = s
-        for a in range(n):
-            for b in range(a + 1, n):
-                if where[a] != where[b]:
-                    change = (weights[b] - weights[a]) * (unit[where[a]] - unit[where[b]])
-                    if (new := cost(0, change)) + 1e-12 < now:
-                        filled, now, better = filled + change, new, True
-                        where[a], where[b] = where[b], where[a]
-    return now, where
-
-
-def allocate(spark, groups: list[tuple], shares: dict[str, float] = SPLITS, restarts: int = RESTARTS, seed: int = SEED) -> dict:
-    """The split of each group (name, weight) from the best of many restarts, the first of equal ones.
-
-    The groups are few (those of one data set); restarts run as tasks, each with
-    a generator of its own, and only the best of each task comes back.
+def group_scenes(descriptors: DataFrame, key: str = "video", scene: str = "scene", descriptor: str = "descriptor", cut: float = GROUP_DISTANCE) -> DataFrame:
+    """``key, scene, visual_group`` of scenes whose descriptors are alike, for each key in a task of its own.
+
+    A task holds the descriptors of one key's scenes and, one after the other, the
+    distances within components, never of all pairs.
+    """
+    kinds = dict(descriptors.dtypes)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by(scene)
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in part.column(descriptor).to_pylist()])
+        return pa.table({key: part.column(key), scene: part.column(scene), "visual_group": pa.array(average_linkage(x, cut), pa.int64())})
+
+    return descriptors.select(key, scene, descriptor).groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, {scene} {kinds[scene]}, visual_group long")
+
+
+def greedy_alloc(groups: DataFrame, key: str, group: str, weight: str, shares: dict[str, float] = SPLITS) -> DataFrame:
+    """``key, group, split``: groups by falling weight, one to each split first, then to the split filled least for its share.
+
+    Each choice rests on all before it, so the groups of a key, one narrow row each, are one task's work.
+    """
+    kinds = dict(groups.dtypes)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(weight, "descending"), (group, "ascending")])
+        w = part.column(weight).to_numpy().astype(float)
+        goal = np.maximum(w.sum() * np.array(list(shares.values())), 1e-12)
+        filled, out = np.zeros(len(shares)), []
+        for i, x in enumerate(w.tolist()):
+            s = i if i < len(shares) else int(np.argmin((filled + x) / goal))
+            filled[s] += x
+            out.append(list(shares)[s])
+        return pa.table({key: part.column(key), group: part.column(group), "split": pa.array(out, pa.string())})
+
+    return groups.select(key, group, weight).groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, {group} {kinds[group]}, split string")
+
+
+#: Error of a split without groups (fixed value), and the least gain for which a search goes on.
+EMPTY_SPLIT, LEAST_GAIN = 100.0, 1e-9
+
+
+def split_errors(filled: np.ndarray, held: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Squared relative error of each split, and a penalty where it holds no group."""
+    return ((filled - target) / np.maximum(target, 1.0)) ** 2 + EMPTY_SPLIT * (held == 0)
+
+
+def allocation_error(weights: np.ndarray, where: np.ndarray, target: np.ndarray) -> float:
+    k = len(target)
+    return float(split_errors(np.bincount(where, weights, k), np.bincount(where, minlength=k), target).sum())
+
+
+def quota_start(weights: np.ndarray, target: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Groups laid end to end in an order; each goes to the split on whose stretch of the whole its middle lies."""
+    middle = np.cumsum(weights[order]) - weights[order] / 2
+    where = np.empty(len(weights), dtype=np.int64)
+    where[order] = np.minimum(np.searchsorted(np.cumsum(target), middle, side="right"), len(target) - 1)
+    return where
+
+
+def improved(weights: np.ndarray, target: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The best of all moves of a group and all exchanges of two, again and again while one helps."""
+    n, k = len(weights), len(target)
+    where, rows = where.copy(), np.arange(len(weights))
+    while True:
+        filled, held = np.bincount(where, weights, k), np.bincount(where, minlength=k)
+        now = split_errors(filled, held, target)
+        left = split_errors(filled[where] - weights, held[where] - 1, target[where]) - now[where]
+        moves = left[:, None] + split_errors(filled + weights[:, None], np.broadcast_to(held + 1, (n, k)), target) - now
+        moves[rows, where] = 0.0
+        # what a group's split loses or gains if it takes another one's weight instead
+        change = split_errors((filled[where] - weights)[:, None] + weights[None, :], np.ones((n, n)), target[where][:, None]) - now[where][:, None]
+        swaps = np.where(where[:, None] != where[None, :], change + change.T, 0.0)
+        g, s = np.unravel_index(moves.argmin(), moves.shape)
+        a, b = np.unravel_index(swaps.argmin(), swaps.shape)
+        if min(moves[g, s], swaps[a, b]) > -LEAST_GAIN:
+            return where
+        if moves[g, s] <= swaps[a, b]:
+            where[g] = s
+        else:
+            where[a], where[b] = where[b], where[a]
+
+
+def allocate(groups: DataFrame, group: str, weight: str, shares: dict[str, float] = SPLITS, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+    """``group, split, error, restart``: the best of many searches, the first of equal ones.
+
+    The groups of a data set are one row, a list of names and weights that goes to
+    every task; each restart is a search from another order of the groups with a generator
+    of its own, and each task hands on its best. Groups without any weight are an error.
     """
-    groups = sorted(groups, key=lambda g: (-g[1], str(g[0])))
-    weights = np.array([float(w) for _, w in groups])
-    if not len(weights) or weights.sum() <= 0:
-        raise ValueError("the groups have no weight")
-    target = weights.sum() * np.array(list(shares.values()))
+    names, kind = list(shares), dict(groups.dtypes)[group]
+    every = groups.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col(weight).cast("double")).alias("w"), F.col(group).alias("g")))).alias("all"))
+    tries = groups.sparkSession.range(restarts).withColumnRenamed("id", "restart").join(F.broadcast(every), F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: tuple | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
+            weights = -np.array([x["w"] for x in b.column(1)[0].as_py()], dtype=float)
+            if not len(weights) or weights.sum() <= 0:
+                raise ValueError("the groups have no weight")
+            target = weights.sum() * np.array(list(shares.values()))
             for i in b.column(0).to_pylist():
                 order = np.arange(len(weights)) if i == 0 else np.random.default_rng([seed, i]).permutation(len(weights))
-                error, where = _restart(weights, target, order)
+                where = improved(weights, target, quota_start(weights, target, order))
+                error = round(allocation_error(weights, where, target), 12)
                 if best is None or (error, i) < best[:2]:
                     best = (error, i, where.tolist())
         if best:
             yield pa.RecordBatch.from_pylist([{"error": best[0], "restart": best[1], "splits": best[2]}], schema=pa.schema([("error", pa.float64()), ("restart", pa.int64()), ("splits", pa.list_(pa.int64()))]))
 
-    row = spark.range(restarts).mapInArrow(run, "error double, restart long, splits array<long>").agg(F.min(F.struct("error", "restart", "splits")).alias("b")).first()["b"]
-    names = list(shares)
-    return {g: names[s] for (g, _), s in zip(groups, row["splits"], strict=True)}
+    best = tries.select("restart", "all").mapInArrow(run, "error double, restart long, splits array<long>").agg(F.min(F.struct("error", "restart", "splits")).alias("b"))
+    placed = best.join(F.broadcast(every), F.lit(True)).select("b", F.explode(F.arrays_zip(F.col("all.g").alias("g"), F.col("b.splits").alias("s"))).alias("z"))
+    split = F.get(F.array(*[F.lit(x) for x in names]), F.col("z")["s"].cast("int"))
+    return placed.select(F.col("z")["g"].cast(kind).alias(group), split.alias("split"), F.col("b.error").alias("error"), F.col("b.restart").alias("restart"))

@@ -155,11 +155,34 @@ def pairwise_cosine(spark, sf_dir):
     return a.join(b, "video").filter("a < b").select("video", "a", "b", F.round(cosine_distance("x", "y"), 6).alias("distance"))
 
 
-@query()
+ALLOC = """g AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS i, sum(n) OVER ()::DOUBLE AS total FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)),
+r AS (SELECT 0::BIGINT AS i, NULL::INTEGER AS label, NULL::INTEGER AS s, 0::DOUBLE AS f0, 0::DOUBLE AS f1, 0::DOUBLE AS f2
+  UNION ALL SELECT i, label, s, f0 + CASE WHEN s = 0 THEN n ELSE 0 END, f1 + CASE WHEN s = 1 THEN n ELSE 0 END, f2 + CASE WHEN s = 2 THEN n ELSE 0 END FROM (
+    SELECT g.i, g.label, g.n, f0, f1, f2, CASE WHEN g.i <= 3 THEN (g.i - 1)::INTEGER WHEN (f0 + n) / (total * 0.8::DOUBLE) <= least((f1 + n) / (total * 0.1::DOUBLE), (f2 + n) / (total * 0.1::DOUBLE)) THEN 0
+      WHEN (f1 + n) / (total * 0.1::DOUBLE) <= (f2 + n) / (total * 0.1::DOUBLE) THEN 1 ELSE 2 END AS s FROM r JOIN g ON g.i = r.i + 1))"""
+
+
+def label_groups(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("visual_group")).agg(F.count(F.lit(1)).alias("n")).withColumn("data_set", F.lit("embeddings"))
+
+
+@query(f"WITH RECURSIVE {ALLOC} SELECT label AS visual_group, CASE s WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM r WHERE i > 0")
 def greedy_alloc(spark, sf_dir):
-    """Groups and their splits; the groups of one data set are few, and are read by the driver."""
-    groups = [(r["label"], float(r["n"])) for r in table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()]
-    return spark.createDataFrame(sorted(scenes.greedy_alloc(groups).items()), "visual_group int, split string")
+    return scenes.greedy_alloc(label_groups(spark, sf_dir), "data_set", "visual_group", "n").select("visual_group", "split")
+
+
+@query()
+def restart_alloc(spark, sf_dir):
+    """The best of 2000 searches; their generators are NumPy's, so no SQL."""
+    out = scenes.allocate(label_groups(spark, sf_dir), "visual_group", "n")
+    return out.select("visual_group", "split", F.round("error", 9).alias("error"))
+
+
+@query()
+def scene_groups(spark, sf_dir):
+    """Average linkage of the scenes of each video, scenes being stretches of 16 frames; compared with plain linkage in the tests."""
+    h = histograms(spark, sf_dir).withColumn("scene", seq.block("idx", 16))
+    return scenes.group_scenes(scenes.mean_descriptor(h, ["video", "scene"], "h", "g"))
 
 
 GATE = "matches >= 12 AND scale BETWEEN 0.5::DOUBLE AND 2.0::DOUBLE AND coverage >= 0.03::DOUBLE"

@@ -306,15 +306,64 @@ def test_scene_bounds_trim_inner_ends(spark):
     assert [(r["valid_first"], r["valid_last"], r["valid_frames"], r["pairs"]) for r in (rows["v", 1], rows["v", 2], rows["v", 3], rows["w", 1])] == [(0, 7, 8, 7), (12, 10, 0, 0), (15, 29, 15, 14), (0, 4, 5, 4)]
 
 
-def test_groups_and_allocation(spark):
-    d = np.array([[0, 0.1, 0.9, 0.8], [0.1, 0, 0.85, 0.9], [0.9, 0.85, 0, 0.2], [0.8, 0.9, 0.2, 0.0]])
-    assert scenes.average_linkage(list("abcd"), d) == {"a": 1, "b": 1, "c": 2, "d": 2}
-    assert scenes.average_linkage(["x"], np.zeros((1, 1))) == {"x": 1}
+def plain_linkage(x, cut):
+    """Join the two nearest groups while their mean distance is within the cut."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 1:
+        best = min((d[np.ix_(groups[i], groups[j])].mean(), i, j) for i in range(len(groups)) for j in range(i))
+        if best[0] > cut:
+            break
+        groups[best[2]] += groups.pop(best[1])
+    return {frozenset(g) for g in groups}
+
+
+def test_average_linkage_equals_plain_joining(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        for spread in (0.2, 0.6, 1.0):
+            x = np.abs(rng.normal(0, spread, (n, 6)) + np.eye(6)[rng.integers(0, 4, n)])
+            got = scenes.average_linkage(x)
+            assert {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got)} == plain_linkage(x, scenes.GROUP_DISTANCE)
+            firsts = [int(np.flatnonzero(got == g)[0]) for g in range(1, got.max() + 1)]
+            assert firsts == sorted(firsts)
     with pytest.raises(ValueError):
-        scenes.average_linkage(["x", "y"], np.full((2, 2), np.nan))
-    groups = [(f"g{i}", w) for i, w in enumerate([50, 20, 10, 6, 5, 4, 5])]
-    got = scenes.allocate(spark, groups, restarts=60)
-    share = {s: sum(w for g, w in groups if got[g] == s) for s in scenes.SPLITS}
-    assert share == {"train": 80, "valid": 10, "test": 10}
-    assert got == scenes.allocate(spark, groups, restarts=60)
-    assert set(scenes.greedy_alloc(groups).values()) == {"train", "valid", "test"}
+        scenes.average_linkage(np.full((2, 2), np.nan))
+    with pytest.raises(ValueError):
+        scenes.average_linkage(np.zeros((2, 2)))
+    rows = [("v", i, x.tolist()) for i, x in enumerate(np.abs(rng.normal(0, 1, (12, 4))))] + [(None, 3, [1.0, 0.0])]
+    out = scenes.group_scenes(spark.createDataFrame(rows, "video string, scene long, descriptor array<double>")).collect()
+    mine = {}
+    for r in out:
+        mine.setdefault((r["video"], r["visual_group"]), set()).add(r["scene"])
+    assert {frozenset(s) for (v, _), s in mine.items() if v} == plain_linkage(np.array([r[2] for r in rows[:12]]), scenes.GROUP_DISTANCE) and mine[None, 1] == {3}
+
+
+def test_allocation(spark):
+    def totals(rows, weight):
+        return {s: sum(weight[r["g"]] for r in rows if r["split"] == s) for s in scenes.SPLITS}
+
+    for weights in ([50, 20, 10, 6, 5, 4, 5], [1, 1, 1], [97, 1, 1, 1], [3] * 30, list(range(1, 25))):
+        groups = spark.createDataFrame([(f"g{i}", w) for i, w in enumerate(weights)], "g string, w int")
+        own = {f"g{i}": w for i, w in enumerate(weights)}
+        got = scenes.allocate(groups, "g", "w", restarts=60).collect()
+        assert sorted(r["g"] for r in got) == sorted(own) and all(totals(got, own).values())
+        target = {s: sum(weights) * x for s, x in scenes.SPLITS.items()}
+        error = sum(((totals(got, own)[s] - target[s]) / max(target[s], 1)) ** 2 for s in target)
+        assert got[0]["error"] == pytest.approx(error, abs=1e-9)
+        # no single move or exchange makes it better
+        where = np.array([list(scenes.SPLITS).index(next(r["split"] for r in got if r["g"] == f"g{i}")) for i in range(len(weights))])
+        w, t = np.array(weights, float), np.array(list(target.values()))
+        for i in range(len(w)):
+            for s in range(3):
+                moved = where.copy()
+                moved[i] = s
+                assert scenes.allocation_error(w, moved, t) >= error - 1e-8
+        assert sorted(map(repr, got)) == sorted(map(repr, scenes.allocate(groups, "g", "w", restarts=60).collect()))
+        if weights[0] == 50:
+            assert totals(got, own) == {"train": 80, "valid": 10, "test": 10}
+        easy = scenes.greedy_alloc(groups.withColumn("k", F.lit(1)), "k", "g", "w").collect()
+        assert {r["split"] for r in easy} == {"train", "valid", "test"} and len(easy) == len(weights)
+    with pytest.raises(Exception, match="no weight"):
+        scenes.allocate(spark.createDataFrame([("a", 0)], "g string, w int"), "g", "w", restarts=2).collect()
