@@ -32,6 +32,8 @@ WINDOW = 10
 SHARD_BYTES = 6 << 18
 #: The items are held by every task; more are searched in slices of so many.
 SLICE_ITEMS = 5_000
+#: Words of an item that proximity asks for, and the words within which they are to stand.
+TERMS, SPAN = 4, 16
 #: Starts examined at once for all phrases of a shard.
 STARTS = 1 << 20
 
@@ -149,19 +151,29 @@ def match_phrases(shard: Shard, phrases: np.ndarray, length: np.ndarray) -> Iter
         at = upto
 
 
-def near_phrases(shard: Shard, terms: list[int], within: int) -> np.ndarray:
-    """Places of the rarest term around which all terms occur at most ``within`` words away, inside one document."""
-    t = np.array(terms, dtype=np.int64)
-    if not len(t) or (t < 0).any() or not len(shard.keys):
+def near_windows(shard: Shard, terms: np.ndarray, span: int) -> np.ndarray:
+    """Places of any of the terms from which on ``span`` words of the document hold all of them.
+
+    Only places up to ``span`` words before one of the rarest term are looked at.
+    """
+    if not len(terms) or (terms < 0).any() or not len(shard.keys):
         return np.zeros(0, dtype=np.int64)
-    t = t[np.argsort(shard.size[t], kind="stable")]
-    places = shard.positions[shard.begin[t[0]] : shard.begin[t[0]] + shard.size[t[0]]]
-    doc = np.searchsorted(shard.starts, places, side="right") - 1
-    low, high = np.maximum(places - within, shard.starts[doc]), np.minimum(places + within, shard.starts[doc + 1] - WINDOW - 1)
-    ok = np.ones(len(places), dtype=bool)
-    for x in t[1:]:
-        ok &= np.searchsorted(shard.keys, (x << 32) | high, side="right") > np.searchsorted(shard.keys, (x << 32) | low, side="left")
-    return places[ok]
+    terms = terms[np.argsort(shard.size[terms], kind="stable")]
+    rare = shard.positions[shard.begin[terms[0]] : shard.begin[terms[0]] + shard.size[terms[0]]]
+    found = [np.zeros(0, dtype=np.int64)]
+    for some in range(0, len(rare), STARTS // span):
+        start = np.unique((rare[some : some + STARTS // span, None] - np.arange(span)).ravel())
+        ok = np.zeros(len(start), dtype=bool)
+        for t in terms:
+            ok |= shard.holds(t, start)
+        start = start[ok]
+        doc = np.searchsorted(shard.starts, start, side="right") - 1
+        past = np.minimum(start + span, shard.starts[doc + 1] - WINDOW)
+        ok = np.ones(len(start), dtype=bool)
+        for t in terms:
+            ok &= np.searchsorted(shard.keys, (t << 32) | past) > np.searchsorted(shard.keys, (t << 32) | start)
+        found.append(start[ok])
+    return np.unique(np.concatenate(found))
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -258,12 +270,53 @@ def search_index(index: DataFrame, slices: list[list[tuple[str, str | None]]], e
     return out.select("row", "n_words", hit.alias("n_hit"), "items", "spans")
 
 
+def key_terms(text: str | None, most: int = TERMS) -> list[bytes]:
+    """The longest distinct words of an item, by characters; of equal ones the first."""
+    return sorted(dict.fromkeys(item_words(text)), key=lambda w: -len(w.decode()))[:most]
+
+
+NEAR = "item string, row long, n_windows long"
+NEARS = pa.schema([("item", pa.string()), ("row", pa.int64()), ("n_windows", pa.int64())])
+
+
+def search_near(index: DataFrame, items: list[tuple[str, list[bytes]]], span: int = SPAN) -> DataFrame:
+    """``item, row, n_windows``: in which documents all words of an item stand within ``span`` words, and at how many places one does begin.
+
+    Rows of an index are documents; items without words are nowhere.
+    """
+    wanted = sorted({w for _, terms in items for w in terms})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                shard = Shard.load(b.slice(i, 1).to_pylist()[0])
+                number = {w: shard.words[w] for w in wanted if w in shard.words}
+                out: list[pa.RecordBatch] = []
+                for item, terms in items:
+                    if all(w in number for w in terms):
+                        start = near_windows(shard, np.array([number[w] for w in terms], dtype=np.int64), span)
+                        doc, n = np.unique(np.searchsorted(shard.starts, start, side="right") - 1, return_counts=True)
+                        if len(doc):
+                            out.append(pa.RecordBatch.from_arrays([pa.array([item] * len(doc), pa.string()), pa.array(shard.rows[doc]), pa.array(n.astype(np.int64))], schema=NEARS))
+                yield from out
+
+    return index.mapInArrow(run, NEAR)
+
+
 def benchmark_items(spark: SparkSession, sf_dir: str) -> list[list[tuple[str, str | None]]]:
     """The stated query set, all items, in slices; a null item_id counts as empty text."""
     items = pick(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("item_id").cast("string"), "text").toLocalIterator()
     return [[(r[0] or "", r[1]) for r in part] for part in batched(items, SLICE_ITEMS)]
 
 
+#: An index that carries ids has this for a null one.
+NO_ID = -(1 << 63)
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row"), "text")
+
+
 def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document.
 
@@ -275,15 +328,27 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = benchmark_items(spark, sf_dir)
     scratch = Scratch(spark, "op5")
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    # the index carries the id itself; a null id takes a value that is turned back below
-    none = -(1 << 63)
-    index = scratch.save(build_index(docs.select(F.coalesce("doc_id", F.lit(none)).alias("row"), "text")), "index")
+    index = scratch.save(build_index(with_ids(docs)), "index")
     found = search_index(index, items)
     return found.select(
-        F.when(F.col("row") != none, F.col("row")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.when(F.col("row") != NO_ID, F.col("row")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, doc_id, n_windows``: documents in which an item's four longest words stand within sixteen words, in any order.
+
+    Null and empty texts have no words; an item of fewer words asks for those it has; a null item_id counts as
+    empty text; repeated documents are separate rows, repeated items too; empty tables give no rows; further columns don't matter.
+    """
+    index = Scratch(spark, "near").save(build_index(with_ids(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))), "index")
+    out = None
+    for part in benchmark_items(spark, sf_dir) or [[]]:
+        found = search_near(index, [(item, key_terms(text)) for item, text in part])
+        out = found if out is None else out.unionAll(found)
+    return out.select(F.col("item").alias("item_id"), F.when(F.col("row") != NO_ID, F.col("row")).alias("doc_id"), "n_windows")
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, stored: bool = False) -> DataFrame:
     """Pipeline stage: documents without any window of the benchmark, with all their columns whatever their names.
 
@@ -317,3 +382,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coa
        sha256(coalesce(items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
 """
+
+NEAR_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS bid, coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (SELECT bid, x, min(i) AS i FROM (SELECT bid, unnest(w) AS x, unnest(range(len(w))) AS i FROM b) GROUP BY ALL),
+q AS (SELECT bid, x, count(*) OVER (PARTITION BY bid) AS n FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY length(x) DESC, i) AS r FROM bw) WHERE r <= 4),
+p AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+whole AS (SELECT bid, rid FROM (SELECT DISTINCT rid, x FROM p) JOIN q USING (x) GROUP BY bid, rid HAVING count(*) = any_value(n)),
+h AS (SELECT bid, rid, i, x, n FROM whole JOIN q USING (bid) JOIN p USING (rid, x)),
+g AS (SELECT a.bid, a.rid, a.i FROM h a JOIN h c ON a.bid = c.bid AND a.rid = c.rid AND c.i BETWEEN a.i AND a.i + 15 GROUP BY ALL HAVING count(DISTINCT c.x) = any_value(a.n))
+SELECT item_id, doc_id, count(*) AS n_windows FROM g JOIN b USING (bid) JOIN d USING (rid) GROUP BY bid, rid, item_id, doc_id
+"""

@@ -330,7 +330,8 @@ def write_tokens(docs: DataFrame, where: str, path: str, parts: int) -> DataFram
             pa.array([part] * (len(used) + 1), pa.int32()), pa.array([name] + [None] * len(used), pa.string()), pa.array([None, *used.tolist()], pa.int32()),
             pa.array([int(counts.sum()), *counts[used].tolist()], pa.int64())], ["part", "file", "id", "n"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    # equal rows may stand in any order, so a number of the row spreads many of them over tasks
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("salt")).repartitionByRange(parts, "doc_id", "h", "salt").sortWithinPartitions("doc_id", "h")
     return ordered.select("doc_id", "text").mapInArrow(run, "part int, file string, id int, n long")
 
 

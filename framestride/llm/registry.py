@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_phrase_index": phrase_index.op5_phrase_index,
+    "phrase_proximity": phrase_index.phrase_proximity,
     "op6_licenses": licenses.op6_licenses,
     "op7_warc": warc.op7_warc,
     "op8_secrets": secrets.op8_secrets,
@@ -24,6 +25,7 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_sharding": sharding.SQL,
     "op5_phrase_index": phrase_index.SQL,
+    "phrase_proximity": phrase_index.NEAR_SQL,
     "op6_licenses": licenses.SQL,
     "op7_warc": warc.SQL,
     "op8_secrets": secrets.SQL,

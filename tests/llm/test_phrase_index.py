@@ -85,12 +85,38 @@ def test_shards_keep_all_postings(texts):
     assert found == want
 
 
-def test_proximity():
-    shard = px.Shard.load(px.build_shard([0, 1], [b"a x x b x c", b"c a b"]))
-    ids = [shard.words[w] for w in (b"a", b"b", b"c")]
-    assert len(px.near_phrases(shard, ids, 2)) == 1  # in the second document alone
-    assert len(px.near_phrases(shard, ids, 5)) == 2
-    assert not len(px.near_phrases(shard, [*ids, -1], 5))
+def near_brute(docs, items, span):
+    out = []
+    for item, terms in items:
+        for d, t in docs:
+            w = words(t)
+            n = sum(1 for i, x in enumerate(w) if x in terms and set(terms) <= set(w[i : i + span]))
+            out += [(item, d, n)] if terms and n else []
+    return sorted(out, key=str)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=30), max_size=8), st.lists(st.sampled_from("abcdefg"), min_size=1, max_size=4, unique=True), st.integers(1, 14))
+def test_proximity_is_that_of_plain_windows(texts, terms, span):
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    shard = px.Shard.load(px.build_shard([d for d, _ in docs], [t.encode() for _, t in docs])) if docs else None
+    got = []
+    if shard:
+        start = px.near_windows(shard, np.array([shard.words.get(t.encode(), -1) for t in terms], dtype=np.int64), span)
+        doc, n = np.unique(np.searchsorted(shard.starts, start, side="right") - 1, return_counts=True)
+        got = [("x", int(d), int(c)) for d, c in zip(doc, n, strict=True)]
+    assert got == near_brute(docs, [("x", terms)], span)
+
+
+def test_proximity_query_on_odd_rows(spark, tmp_path):
+    where = write_documents(spark, tmp_path / "t", ODD)
+    texts = [t for _, t, _ in ODD if t and len(words(t)) > 3][:3]
+    items = [("a", texts[0][:400]), ("a", texts[0][:400]), (None, texts[-1][:300]), ("e", ""), ("n", None)]
+    spark.createDataFrame(items, "item_id string, text string").write.mode("overwrite").parquet(f"{where}/benchmark.parquet")
+    want = near_brute([(d, t) for d, t, _ in ODD], [(i or "", [x.decode() for x in px.key_terms(t)]) for i, t in items], px.SPAN)
+    assert sorted((tuple(r) for r in px.phrase_proximity(spark, where).collect()), key=str) == sorted(want, key=str)
+    assert want
+
 
 
 def test_word_hashes_differ():

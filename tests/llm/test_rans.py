@@ -129,3 +129,10 @@ def test_added_tokens_are_those_of_the_plain_call(spark, tmp_path):
     assert want[0][2] == 5
     got = [tuple(r) for r in rans.op1_rans_tokens(spark, write_documents(spark, tmp_path / "t", rows)).collect()]
     assert sorted(got) == want
+
+
+def test_many_equal_rows_spread_over_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "one text for all of these rows")] * 4000, "doc_id long, text string").repartition(4)
+    n = [r["n"] for r in rans.write_tokens(rows, f"file://{tmp_path}/raw", PATH, 4).filter("id IS NULL").collect()]
+    assert len(n) == 4
+    assert max(n) < 0.5 * sum(n)
