@@ -1,4 +1,4 @@
-"""Queries on motion between frames, over PNG files that Spark writes from the tables and reads back."""
+"""Queries on motion between frames: PNG files that Spark writes from the tables and reads back, and the small grids."""
 
 from __future__ import annotations
 
@@ -78,9 +78,7 @@ s AS (SELECT video, idx, sum(greatest(c, 0)) AS w, sum(greatest(c, 0) * x) AS wx
 d AS (SELECT p.video, p.idx, avg(abs(p.px - q.px)) AS difference FROM px p JOIN px q ON q.video = p.video AND q.idx = p.idx + 1 AND q.y = p.y AND q.x = p.x GROUP BY ALL)
 SELECT video::VARCHAR AS video, idx, round(difference, 6) AS difference, round(sqrt((wx / w - 4) ** 2 + (wy / w - 4) ** 2), 6) AS movement, round(w, 6) AS response, NULL::VARCHAR AS error FROM s JOIN d USING (video, idx)""")
 def pair_motion(spark, sf_dir):
-    """Mean difference, movement and response of consecutive PNG files."""
-    grey = bytes_of(F.flatten(F.transform("px", lambda v: F.array(v, v, v))))
-    name = F.concat(F.col("video"), F.lit("_"), F.col("idx"), F.lit(".png"))
-    frames = grids(spark, sf_dir).select(name.alias("name"), F.lit(8).alias("height"), F.lit(8).alias("width"), grey.alias("rgb"))
-    moved = motion.phase_shifts(motion.small_frames(read_back(spark, frames, "pairs")))
+    """Mean difference, movement and response of consecutive frames."""
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), bytes_of(F.col("px")).alias("data"))
+    moved = motion.phase_shifts(motion.small_frames(grids(spark, sf_dir).select("video", "idx", image.alias("image"))))
     return moved.select("video", "idx", F.round("difference", 6).alias("difference"), F.round("movement", 6).alias("movement"), F.round("response", 6).alias("response"), "error")
