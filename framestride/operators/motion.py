@@ -1,8 +1,8 @@
 """Motion between consecutive frames: phase shifts, and corners that are matched and fitted by a similarity.
 
 Every frame is read once. What leaves it is a small grey image, or at most ``MOST``
-corners of 40 bytes; that is what meets the next frame's, by a join on the frame's
-number, so a video is spread over many tasks and images are never shuffled.
+corners of 40 bytes; that is saved once and meets the next frame's by a join on the
+frame's number, so a video is spread over many tasks and images are never shuffled.
 
 A frame without a next one gives no row. Missing or unreadable images give a row
 with an error; images without corners (blank or very small ones) match nothing.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from framestride.operators import kernels
 from framestride.operators.overlay import image_array
+from framestride.storage import Scratch
 
 # Corners of a frame, share of the second best distance, matches a fit needs, pixels of its error, bounds of what counts as geometry.
 MOST, RATIO, LEAST, REACH, SCALES, COVERAGE = 2000, 0.75, 12, 3.0, (0.5, 2.0), 0.03
@@ -148,7 +149,8 @@ def geometry(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def following(frames: DataFrame, key: str = "video", index: str = "idx") -> DataFrame:
-    """Each frame beside the next one of its video, whose columns are called ``next_...``."""
+    """Each frame beside the next one of its video, whose columns are called ``next_...``; what was made of the images is saved first."""
+    frames = Scratch(frames.sparkSession, "following").save(frames)
     rest = [c for c in frames.columns if c not in (key, index)]
     after = frames.select(key, (F.col(index) - 1).alias(index), *[F.col(c).alias(f"next_{c}") for c in rest])
     return frames.join(after, [key, index])
