@@ -3,7 +3,8 @@
 The index is cut by documents. A shard is one window: at most ``WINDOW`` documents,
 numbered from 0, their lengths, the dictionary of their words and for every word its
 posting list, the numbers of the documents and how often they hold it. It is one
-row of Parquet in the shared folder; building it shuffles nothing, and a frequent
+row of Parquet in the shared folder, in row groups of a few, so that what a task holds
+does not grow with its part; building it shuffles nothing, and a frequent
 word is a longer list in each window.
 
 A search walks the windows. What a term adds to a document does not depend on the
@@ -36,6 +37,8 @@ from framestride.llm.words import find_words, number_words
 WINDOW = 4096
 #: Bytes of text after which a window is closed.
 WINDOW_BYTES = 4 << 20
+#: Windows of a row group of the saved index.
+GROUP = 4
 #: Documents that one bit of the occupancy set stands for.
 STRETCH = 64
 #: Hits of a query.
@@ -67,6 +70,11 @@ def build_window(ids: list[int | None], texts: list[bytes]) -> dict:
         "list_ends": np.cumsum(np.bincount(which, minlength=len(words))).tolist(), "gaps": gaps.astype("<i4").tobytes(), "times": times.astype("<i4").tobytes()}
 
 
+def save_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The windows over ``docs`` as a table that tasks write and read a few at a time."""
+    return scratch.save(build_index(docs), "index", GROUP)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """Windows over ``docs`` (``doc_id`` long, ``text`` string; null text has no words)."""
 
@@ -249,7 +257,7 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     none; further columns don't matter.
     """
     scratch = Scratch(spark, "op11")
-    index = scratch.save(build_index(pick(table(spark, sf_dir, "documents"), "doc_id", "text")), "index")
+    index = save_index(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), scratch)
     # the stated queries, numbered in a table of their own
     items = scratch.save(pick(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("item", F.monotonically_increasing_id()), "items")
     found = search(index, ((r["item"], r["text"]) for r in items.select("item", "text").toLocalIterator()))

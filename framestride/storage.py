@@ -49,11 +49,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read back."""
+    def save(self, df: DataFrame, name: str | None = None, group_rows: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and return it as read back.
+
+        ``group_rows``: rows of a row group, for rows of megabytes. A writer and a reader hold a
+        whole group at once, and Parquet looks at sizes only after 100 rows.
+        """
         self._n += 1
         where = self.path(name or f"t{self._n}")
-        df.write.option("compression", "zstd").parquet(where)
+        limits = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows, "parquet.page.size.row.check.min": 1}
+        df.write.option("compression", "zstd").options(**limits).parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch_path = where
         return out

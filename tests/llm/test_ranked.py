@@ -4,10 +4,13 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from framestride.llm import ranked, words
+from framestride.llm.common import Scratch
 from tests.llm.helpers import ODD, write_documents
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -84,3 +87,13 @@ def test_words_of_one_hash_are_told_apart():
     for hashed in (words.hash_words, lambda f, b, e: (e - b).astype(np.uint64), lambda f, b, e: np.zeros(len(b), dtype=np.uint64)):
         found, term = words.number_words(*words.find_words(np.frombuffer(text, dtype=np.uint8)), hashed)
         assert [found[t] for t in term] == text.split(b" ") and len(set(found)) == len(found) == 7
+
+
+def test_a_saved_index_is_read_a_few_windows_at_a_time(spark, tmp_path, monkeypatch):
+    """A reader holds a row group at once: one with all windows of a task outgrew an executor."""
+    monkeypatch.setattr(ranked, "WINDOW", 2)
+    docs = spark.createDataFrame([(i, f"w{i} same") for i in range(60)], "doc_id long, text string").coalesce(1)
+    index = ranked.save_index(docs, Scratch(spark, "windows"))
+    files = Path(index._scratch_path.removeprefix("file://")).glob("*.parquet")
+    groups = [m.row_group(i).num_rows for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)]
+    assert sum(groups) == index.count() == 30 and max(groups) <= ranked.GROUP
