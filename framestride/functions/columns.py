@@ -45,6 +45,16 @@ def uint8(c: Column | str) -> Column:
     return F.when(c.isNull() | F.isnan(c), 0.0).otherwise(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), c))))
 
 
+def round_scaled(c: Column | str, digits: int) -> Column:
+    """Rounded half away from zero as binary numbers are in SQL: scaled, rounded, scaled back.
+
+    ``F.round`` goes by the decimal that a double prints as. A value just under a half, as 1.0594999999999999,
+    stays under it there, but scaled by 1000 is 1059.5.
+    """
+    scale = float(10**digits)
+    return F.round(col(c) * scale) / scale
+
+
 def unbiased_kurtosis(c: Column | str) -> Column:
     """Aggregate: bias-corrected excess kurtosis; NULL for constants and under four values."""
     n, g = F.count(c).cast("double"), F.kurtosis(c)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framestride.functions.columns import uint8
+from framestride.functions.columns import round_scaled, uint8
 from framestride.operators.ordered import numbered
 from framestride.operators.sequence import along
 from framestride.storage import Scratch
@@ -44,7 +44,7 @@ def with_looks(seq: DataFrame) -> DataFrame:
     v, k = F.col("v"), F.col("k")
     return seq.withColumns({
         "white": F.least(F.lit(1.0), v / 285), "black": F.when(k < 1, 0.9).otherwise(0.1), "contrast": 7 + k, "entropy": 2.95 + k / 20, "stripes_h": v / 10, "stripes_v": k / 10, "blocks": v * k / 1000,
-        "matches": k.cast("long"), "inliers": (k % 10) / 10, "scale": F.when(k % 7 != 0, F.round(1 + (v - 30) / 2000, 3))})
+        "matches": k.cast("long"), "inliers": (k % 10) / 10, "scale": F.when(k % 7 != 0, round_scaled(1 + (v - 30) / 2000, 3))})
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:

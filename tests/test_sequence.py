@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from framestride.functions import columns, vectors
 from framestride.operators import classify, relational, robust, scenes, spacing, summary
 from framestride.operators import sequence as seq
+from framestride.sources.tables import with_looks
 
 
 def series(spark, rows, schema):
@@ -367,3 +369,11 @@ def test_allocation(spark):
         assert {r["split"] for r in easy} == {"train", "valid", "test"} and len(easy) == len(weights)
     with pytest.raises(Exception, match="no weight"):
         scenes.allocate(spark.createDataFrame([("a", 0)], "g string, w int"), "g", "w", restarts=2).collect()
+
+
+def test_scales_at_a_half_are_rounded_as_in_the_sql(spark):
+    """149.0 gives 1.0594999999999999, which the SQL rounds to 1.06."""
+    values = [i / 2 for i in range(-4000, 4000)]
+    got = with_looks(spark.createDataFrame([(v, 1.0) for v in values], "v double, k double")).select("v", "scale").collect()
+    want = dict(duckdb.sql("SELECT v, round(1 + (v - 30) / 2000, 3) FROM (SELECT (i / 2)::DOUBLE AS v FROM range(-4000, 4000) t(i))").fetchall())
+    assert {r["v"]: r["scale"] for r in got} == want and want[149.0] == 1.06
