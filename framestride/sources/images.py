@@ -91,6 +91,116 @@ def encode_png(rgb: np.ndarray, level: int = 3) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + chunk(b"IEND", b"")
 
 
+#: Samples of a pixel for the colour types that are read: grey, RGB, grey and RGB with alpha.
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """Rows of 8-bit pixels (1 to 4 channels) of a PNG; palettes, other depths and interlaced ones are not read."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG header")
+    packed, head, at = [], b"", 8
+    while at + 12 <= len(data):
+        n, name = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + n]
+        if len(data) < at + 12 + n or zlib.crc32(name + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
+            raise ValueError("broken PNG: a chunk is damaged")
+        at += 12 + n
+        if name == b"IHDR":
+            head = body
+        elif name == b"IDAT":
+            packed.append(body)
+        elif name == b"IEND":
+            break
+    if len(head) != 13:
+        raise ValueError("broken PNG: no size")
+    w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    if depth != 8 or kind not in CHANNELS or interlaced:
+        raise ValueError("this kind of PNG is not read")
+    c = CHANNELS[kind]
+    size = h * (1 + w * c)
+    if not h or not w or size >= 1 << 31:
+        raise ValueError("broken PNG: a size that no image has")
+    try:
+        raw = zlib.decompressobj().decompress(b"".join(packed), size)
+    except zlib.error as broken:
+        raise ValueError(f"broken PNG: {broken}") from broken
+    if len(raw) < size:
+        raise ValueError("broken PNG: rows are missing")
+    lines = np.frombuffer(raw, np.uint8).reshape(h, 1 + w * c)
+    if not lines[:, 0].any():
+        return lines[:, 1:].reshape(h, w, c)
+    out = np.zeros((h + 1, w + 1, c), np.int64)  # with a row above and a pixel to the left
+    for y in range(h):
+        out[y + 1, 1:] = lines[y, 1:].reshape(w, c)
+        _unfilter(int(lines[y, 0]), out[y], out[y + 1])
+    return out[1:, 1:].astype(np.uint8)
+
+
+def _unfilter(kind: int, above: np.ndarray, row: np.ndarray) -> None:
+    """Undo a line's filter in place; the first pixel of both is the zero before the line."""
+    if kind == 1:
+        row[:] = np.cumsum(row, axis=0) & 255
+    elif kind == 2:
+        row += above
+        row &= 255
+    elif kind in (3, 4):
+        for x in range(1, len(row)):
+            a, b, c = row[x - 1], above[x], above[x - 1]
+            if kind == 3:
+                guess = (a + b) >> 1
+            else:
+                pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+                guess = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+            row[x] = (row[x] + guess) & 255
+    elif kind:
+        raise ValueError(f"broken PNG: filter {kind}")
+
+
+def encode_column(frames: DataFrame, level: int = 3) -> DataFrame:
+    """``name, content``: the PNG of each of ``name, height, width, rgb``, for tables of many small images."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = [encode_png(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), level) for h, w, rgb in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coded, pa.binary())], names=["name", "content"])
+
+    return frames.select("name", "height", "width", "rgb").mapInArrow(run, "name string, content binary")
+
+
+IMAGE = "frame string, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>, error string"
+DECODED = pa.schema([
+    ("frame", pa.string()), ("image", pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])), ("error", pa.string())])
+#: Pixels after which a batch of decoded images is handed on.
+BATCH_BYTES = 16 << 20
+
+
+def decode_column(files: DataFrame) -> DataFrame:
+    """What ``read_frames`` gives, of rows ``name, content`` (PNG); grey is one channel, alpha is dropped from grey alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                image, error = None, None
+                try:
+                    px = decode_png(content.as_py() or b"")
+                    px = px[:, :, :1] if px.shape[2] == 2 else px if px.shape[2] == 1 else px[:, :, [2, 1, 0, 3][: px.shape[2]]]
+                    h, w, n = px.shape
+                    # the mode is OpenCV's: 8 bits of so many channels
+                    image = {"origin": name, "height": h, "width": w, "nChannels": n, "mode": 8 * (n - 1), "data": px.tobytes()}
+                    held += px.size
+                except ValueError as broken:
+                    error = str(broken)
+                rows.append({"frame": name, "image": image, "error": error})
+                if held >= BATCH_BYTES or len(rows) == 4096:
+                    yield pa.RecordBatch.from_pylist(rows, schema=DECODED)
+                    rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=DECODED)
+
+    return files.select("name", "content").mapInArrow(run, IMAGE)
+
+
 def write_frames(frames: DataFrame, where: str, level: int = 3) -> DataFrame:
     """Write ``name, height, width, rgb`` as PNG files into a shared folder; returns ``name, path, bytes``.
 

@@ -1,13 +1,18 @@
 """Kernels, image sources and sinks, inference and streams."""
 
 import json
+import struct
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from framestride.operators import inference, kernels, masks, pixels
+from framestride.plans import media_queries
 from framestride.sources import images
+from framestride.storage import shared_dir
 from framestride.streaming import resume
 
 
@@ -262,3 +267,53 @@ def test_pixel_operators_on_a_grid(spark):
     q = np.pad(g, 1, mode="reflect")
     one = q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] - 4 * g
     assert row.select(pixels.variance(pixels.laplacian(F.col("a"), 4, 4, 1))).first()[0] == pytest.approx(one.var())
+
+
+def filtered_png(image, kinds):
+    """A PNG whose lines are filtered by given kinds, by the definition, byte by byte."""
+    h, w, c = image.shape
+    flat = image.reshape(h, w * c).astype(int)
+    raw = b""
+    for y in range(h):
+        line = [kinds[y]]
+        for x in range(w * c):
+            a, b, d = (flat[y, x - c] if x >= c else 0), (flat[y - 1, x] if y else 0), (flat[y - 1, x - c] if y and x >= c else 0)
+            p = a + b - d
+            paeth = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d)))[2]
+            line.append((flat[y, x] - (0, a, b, (a + b) // 2, paeth)[kinds[y]]) % 256)
+        raw += bytes(line)
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    packed = zlib.compress(raw)
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 2: 4, 4: 6}[c], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", packed[:9]) + chunk(b"IDAT", packed[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png_lines_of_all_filters(channels):
+    image = np.random.default_rng(channels).integers(0, 256, (11, 7, channels), dtype=np.uint8)
+    for kinds in ([0] * 11, [0, 1, 2, 3, 4, 4, 3, 2, 1, 0, 4], [4] * 11, [3] * 11):
+        assert (images.decode_png(filtered_png(image, kinds)) == image).all()
+
+
+def test_coded_rows_are_read_as_files_are(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    made = {f"{c}.png": filtered_png(rng.integers(0, 256, (6, 5, c), dtype=np.uint8), [0, 1, 2, 3, 4, 1]) for c in (1, 3, 4)}
+    good = made["3.png"]
+    made |= {"cut.png": good[:-20], "junk.png": b"junk", "odd.png": good.replace(b"IDAT", b"IDAX", 1), "huge.png": good[:8] + struct.pack(">I4s", 13, b"IHDR") + (d := struct.pack(">IIBBBBB", 2**31, 2**31, 8, 6, 0, 0, 0)) + struct.pack(">I", zlib.crc32(b"IHDR" + d)) + good[33:]}
+    for n, data in made.items():
+        (tmp_path / n).write_bytes(data)
+    plain = lambda df: {r["frame"]: None if r["image"] is None else (r["image"]["height"], r["image"]["width"], r["image"]["nChannels"], r["image"]["mode"], bytes(r["image"]["data"])) for r in df.collect()}
+    rows = spark.createDataFrame([*((n, bytearray(d)) for n, d in made.items()), ("null.png", None)], "name string, content binary")
+    got = images.decode_column(rows)
+    assert {r["frame"] for r in got.filter("error IS NOT NULL").collect()} == {"cut.png", "junk.png", "odd.png", "huge.png", "null.png"}
+    files = plain(images.read_frames(spark, f"file://{tmp_path}").filter("frame RLIKE '^[0-9]'"))
+    assert len(files) == 3 and {k: v for k, v in plain(got).items() if k in files} == files
+
+
+def test_image_metrics_makes_no_file_for_each_frame(spark, tmp_path):
+    rows = spark.range(150).selectExpr("id AS vec_id", "CAST(id % 3 AS INT) AS label", "array_repeat(CAST((id % 7) / 10 AS FLOAT), 64) AS embedding")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    files = lambda: sum(1 for _ in Path(shared_dir(spark).removeprefix("file://")).glob("png-*/**/*"))
+    before = files()
+    figures = media_queries.image_metrics(spark, str(tmp_path))
+    assert figures.filter("error IS NULL").count() == 150 and files() - before < 50
